@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from strandline.llm import sketch, textcodes
 from strandline.llm.plain import plain_all
 
-#: Words of a shingle; samples of a band; bands.
-WORDS, ROWS, BANDS = 3, 4, 24
+#: Words of a shingle; samples of a band; bands; bands in which two texts must agree to be compared.
+WORDS, ROWS, BANDS, AGREE = 3, 3, 24, 2
 #: A bucket with more classes than this is divided by a second band before pairs are formed.
 CROWD = 64
 #: Shingles that a task holds at once.
@@ -102,10 +102,11 @@ def signatures(df: DataFrame, text: str, table: np.ndarray, texts: int) -> DataF
     return df.mapInArrow(sign, f"{types}, cls long, n_runs int, keys array<long>")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket, a of the left and b of the right side, each pair once.
+def candidates(classes: DataFrame, directed: bool = False) -> DataFrame:
+    """Pairs (a, b) of classes that share two buckets, a of the left and b of the right side, each pair once.
 
-    classes: cls, keys, is_left, is_right. Buckets are counted first, combined before the shuffle; what is
+    classes: cls, keys, is_left, is_right. Of two classes that are both on both sides, both orders are pairs
+    if directed, else the one with the smaller class first. Buckets are counted first, combined before the shuffle; what is
     alone in its bucket goes no further. A crowded bucket is divided by every other band of its members, so
     that its pairs are those that agree in two bands.
     """
@@ -127,5 +128,4 @@ def candidates(classes: DataFrame) -> DataFrame:
     rest = members.filter(F.col("n") <= CROWD).select("cls", "is_left", "is_right", "key").union(divided)
     left = rest.filter("is_left").select(F.col("cls").alias("a"), F.col("is_right").alias("ar"), "key")
     right = rest.filter("is_right").select(F.col("cls").alias("b"), F.col("is_left").alias("bl"), "key")
-    # of two classes that are both on both sides one order is enough
-    return left.join(right, "key").filter("a <> b and (a < b or not (ar and bl))").select("a", "b").distinct()
+    return left.join(right, "key").filter("a <> b" if directed else "a <> b and (a < b or not (ar and bl))").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= AGREE).select("a", "b")
