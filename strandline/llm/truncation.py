@@ -23,59 +23,56 @@ INSIDE, TERMINAL = 100, 0.005
 #: A line whose first word begins last lines in at least this share is a sign-off.
 SIGN_OFF = 0.8
 
+# A number, a word, a run of closing marks or of line ends.
+TOKEN = r"[0-9\u0660-\u0669]+(?:[.,][0-9\u0660-\u0669]+)*|[\p{L}\p{M}\p{N}]+|[.!?؟。…]+|[\r\n]+"
+_FIRST_WORD = r"^\s*([—–-]?\s*[\p{L}\p{M}]+)"
+# A token as a number: 0 for any number, 1 for an end, else the word's hash.
+_CODED = """transform(regexp_extract_all(lower({text}), r'{token}', 0), t -> CASE
+    WHEN ascii(t) BETWEEN 48 AND 57 OR ascii(t) BETWEEN 1632 AND 1641 THEN 0L
+    WHEN ascii(t) IN (10, 13, 33, 46, 63, 1567, 8230, 12290) THEN 1L ELSE xxhash64(t) END)"""
+
 _LAYERS = rf"""
 WITH kept AS (
-  SELECT doc_id, source, rtrim(regexp_replace(text, r'[\s​﻿]+$', '')) AS text
+  SELECT doc_id, source, trim(TRAILING ' \t\r\n\u00a0\u200b\ufeff' FROM text) AS text
   FROM {{view}} WHERE text IS NOT NULL AND trim(text) <> ''
-), lines AS (
-  SELECT doc_id, source, text, filter(split(text, r'[\r\n]+'), x -> trim(x) <> '') AS lines FROM kept
 ), firsts AS (
   SELECT word, count_if(last) / count(*) AS last_share FROM (
-    SELECT lower(regexp_extract(line, r'^\s*([—–-]?\s*[\p{{L}}\p{{M}}]+)', 1)) AS word, pos = size(lines) - 1 AS last
-    FROM lines LATERAL VIEW posexplode(lines) AS pos, line WHERE size(lines) > 1
+    SELECT lower(regexp_extract(line, r'{_FIRST_WORD}', 1)) AS word, pos = n - 1 AS last
+    FROM (SELECT split(text, r'[\r\n]+\s*') AS lines, size(lines) AS n FROM kept WHERE text RLIKE r'[\r\n]') LATERAL VIEW posexplode(lines) AS pos, line
   ) GROUP BY word
 ), tails AS (
-  SELECT l.doc_id, l.source, l.text, l.lines, element_at(l.lines, -1) AS tail,
-         size(l.lines) > 1 AND NOT element_at(l.lines, -1) RLIKE '{CLOSED}' AND (
-           NOT element_at(l.lines, -1) RLIKE r'\p{{L}}'
-           OR element_at(l.lines, -1) RLIKE r'^\s*[(\[].*[)\]]\s*$'
-           OR element_at(l.lines, -1) RLIKE r'https?://\S+\s*$'
-           OR (f.last_share >= {SIGN_OFF} AND element_at(l.lines, -1) RLIKE r'\S\s+\S')
-         ) AS signed
-  FROM lines l LEFT JOIN firsts f ON f.word = lower(regexp_extract(element_at(l.lines, -1), r'^\s*([—–-]?\s*[\p{{L}}\p{{M}}]+)', 1))
+  SELECT doc_id, source, n, rtrim(element_at(lines, -1)) AS last, CASE WHEN n > 1 THEN rtrim(element_at(lines, -2)) END AS prior,
+         lower(regexp_extract(element_at(lines, -1), r'{_FIRST_WORD}', 1)) AS word
+  FROM (SELECT doc_id, source, split(text, r'[\r\n]+\s*') AS lines, size(lines) AS n FROM kept)
+), signs AS (
+  SELECT t.*, n > 1 AND NOT last RLIKE '{CLOSED}' AND (
+           NOT last RLIKE r'\p{{L}}' OR last RLIKE r'^\s*[(\[].*[)\]]$' OR last RLIKE r'https?://\S+$'
+           OR (coalesce(f.last_share, 0) >= {SIGN_OFF} AND last RLIKE r'\S\s+\S')) AS signed
+  FROM tails t LEFT JOIN firsts f ON f.word = t.word
 ), bodies AS (
-  SELECT doc_id, source, signed, n_lines, trim(regexp_replace(body, '{REMAINS}', '')) AS body, body RLIKE '{REMAINS}' AS remains FROM (
-    SELECT doc_id, source, signed, size(lines) - signed::int AS n_lines,
-           trim(array_join(slice(lines, 1, size(lines) - signed::int), '\n')) AS body
-    FROM tails
-  )
-), words AS (
-  SELECT doc_id, transform(regexp_extract_all(
-           regexp_replace(regexp_replace(lower(text), r'\p{{N}}+(?:[.,]\p{{N}}+)*', '0'), r'[.!?؟。…]+(?=["”’»)\]]*(?:\s|$))|[\r\n]+', ' ¶ '),
-           r'[\p{{L}}\p{{M}}\p{{N}}]+|¶', 0), w -> xxhash64(w)) AS w
-  FROM kept
+  SELECT doc_id, source, signed, n - signed::int AS n_lines, IF(signed, prior, last) AS whole,
+         rtrim(regexp_replace(IF(signed, prior, last), '{REMAINS}', '')) AS body
+  FROM signs
+), finals AS (
+  SELECT doc_id, source, signed, whole RLIKE '{REMAINS}' AS remains, body RLIKE '{CLOSED}' AS closed, body RLIKE '{ITEM}' AS item,
+         n_lines = 1 AND body RLIKE '{NOTICE}' AND NOT body RLIKE r'[.!?؟。]["”’»)\]]*\s' AS notice,
+         IF(size(w) >= 3, {{gram}}, NULL) AS gram
+  FROM (SELECT *, slice(filter({_CODED.format(text="body", token=TOKEN)}, t -> t <> 1), -3, 3) AS w FROM (SELECT *, 0 AS i FROM bodies) WHERE length(body) > 0)
 ), grams AS (
-  SELECT explode(transform(filter(sequence(1, greatest(size(w) - 2, 1)), i -> size(w) > i + 1 AND w[i - 1] <> {{end}} AND w[i] <> {{end}} AND w[i + 1] <> {{end}}),
-           i -> shiftleft(xxhash64(w[i - 1], w[i], w[i + 1]), 1) + IF(size(w) = i + 2 OR w[i + 2] = {{end}}, 1, 0))) AS g
-  FROM words
+  SELECT explode(transform(sequence(0, size(w) - 3), i -> IF(w[i] = 1 OR w[i + 1] = 1 OR w[i + 2] = 1, NULL,
+           shiftleft({{gram}}, 1) + IF(coalesce(get(w, i + 3), 1) = 1, 1, 0)))) AS g
+  FROM (SELECT {_CODED.format(text="text", token=TOKEN)} AS w FROM kept) WHERE size(w) >= 3
 ), counts AS (
   SELECT shiftright(g, 1) AS gram, sum(IF(g % 2 = 0, n, 0)) AS inside, sum(IF(g % 2 = 0, 0, n)) AS terminal
-  FROM (SELECT g, count(*) AS n FROM grams GROUP BY g) GROUP BY shiftright(g, 1)
-), finals AS (
-  SELECT doc_id, source, signed, n_lines, body, remains, IF(size(w) >= 3, shiftright(shiftleft(xxhash64(w[size(w) - 3], w[size(w) - 2], w[size(w) - 1]), 1), 1), NULL) AS gram
-  FROM (
-    SELECT *, transform(regexp_extract_all(regexp_replace(lower(right(body, 400)), r'\p{{N}}+(?:[.,]\p{{N}}+)*', '0'), r'[\p{{L}}\p{{M}}\p{{N}}]+', 0), x -> xxhash64(x)) AS w
-    FROM bodies
-  )
+  FROM (SELECT g, count(*) AS n FROM grams WHERE g IS NOT NULL GROUP BY g) GROUP BY shiftright(g, 1)
 ), judged AS (
-  SELECT f.doc_id, f.source, f.signed, f.remains, f.body RLIKE '{CLOSED}' AS closed,
-         coalesce(c.inside, 0) AS inside, coalesce(c.terminal, 0) AS terminal,
-         coalesce(c.inside, 0) >= {INSIDE} AND c.terminal <= {TERMINAL} * (c.inside + c.terminal) AS broken_gram,
-         regexp_extract(f.body, r'([^\r\n]*)$', 1) RLIKE '{ITEM}' AS item,
-         f.n_lines = 1 AND f.body RLIKE '{NOTICE}' AND NOT f.body RLIKE r'[.!?؟。]["”’»)\]]*\s' AS notice
+  SELECT f.doc_id, f.source, f.signed, f.remains, f.closed, f.item, f.notice, coalesce(c.inside, 0) AS inside, coalesce(c.terminal, 0) AS terminal,
+         coalesce(c.inside, 0) >= {INSIDE} AND c.terminal <= {TERMINAL} * (c.inside + c.terminal) AS broken_gram
   FROM finals f LEFT JOIN counts c ON c.gram = f.gram
 )
 """
+# The hash of three coded words from place i on, with its top bit free for the shift.
+_GRAM = "shiftright(xxhash64(w[i], w[i + 1], w[i + 2]), 2)"
 
 _VERDICT = """
 SELECT doc_id, source, signed, closed, inside, terminal,
@@ -92,10 +89,9 @@ def verdicts(documents: DataFrame) -> DataFrame:
     fewer than three words are judged by their closing mark alone.
     """
     spark = documents.sparkSession
-    end = spark.range(1).selectExpr("xxhash64('¶') AS h").first()["h"]
     view = f"documents_{uuid.uuid4().hex}"
     documents.createOrReplaceTempView(view)
-    return spark.sql((_LAYERS + _VERDICT).replace("{end}", f"{end}L").replace("{view}", view))
+    return spark.sql((_LAYERS + _VERDICT).replace("{gram}", _GRAM).replace("{view}", view))
 
 
 def truncated(documents: DataFrame) -> DataFrame:
