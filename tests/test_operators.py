@@ -1,0 +1,143 @@
+import math
+import random
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from strandline.operators import dedupe, linking, metrics, neighbours, ranking, sampling, tables, validate
+from strandline.operators.graph import connected_components
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000), (None, 1)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {}
+    for x in got:
+        want.setdefault(find(x), []).append(x)
+    assert set(got) == {x for e in edges if e[0] is not None for x in e}
+    assert all({got[x] for x in xs} == {min(xs)} for xs in want.values())
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_tfidf_against_brute_force(spark):
+    docs = {1: "red fox red", 2: "blue fox runs", 3: "nothing here", 4: None, 5: ""}
+    ask = "red fox jumps"
+    import re
+
+    words = lambda t: re.findall(r"\w\w+", (t or "").lower())
+    corpus = [words(t) for t in docs.values()] + [words(ask)]
+    idf = lambda t: math.log((1 + len(corpus)) / (1 + sum(t in c for c in corpus))) + 1
+    vec = lambda c: {t: c.count(t) * idf(t) for t in set(c)}
+    q = vec(words(ask))
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {k: sum(x * q.get(t, 0) for t, x in vec(words(d)).items()) / (norm(vec(words(d))) * norm(q)) for k, d in docs.items() if set(words(d)) & set(q)}
+    got = ranking.tfidf(spark.createDataFrame([("u", ask)], "user string, q string"), spark.createDataFrame(list(docs.items()), "id int, t string"), "user", "q", "id", "t")
+    assert {r["id"]: round(r["similarity"], 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_filters_or_within_and_across(spark):
+    tags = spark.createDataFrame([(1, {"c": ["Iran", "Iraq"], "s": ["X-1"]}), (2, {"c": ["Iraq"], "s": []}), (3, {"c": None})], "id int, tags map<string,array<string>>")
+    need = spark.createDataFrame([("u", {"c": ["iran", "IRAQ"], "s": ["x 1"]}), ("v", {})], "user string, f map<string,array<string>>")
+    got = ranking.filter_coverage(ranking.long_tags(need, "user", F.col("f")), ranking.long_tags(tags, "id", F.col("tags")), "user", "id").collect()
+    assert {r["id"]: (r["coverage"], r["direct"]) for r in got} == {1: (1.0, True), 2: (0.5, False)}
+
+
+def test_nearest_ties_nulls_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS", 3)
+    rows = [(i, [1.0, 0.0]) for i in range(6)] + [(6, [0.0, 1.0]), (7, None), (8, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = neighbours.nearest(df, df.filter("id in (0, 6, 7)"), "id", "v", 3).orderBy("query", "rank").collect()
+    assert [(r["query"], r["key"]) for r in got] == [(0, 1), (0, 2), (0, 3), (6, 0), (6, 1), (6, 2)]
+
+
+def test_simhash_groups_against_all_pairs(spark):
+    base = "the quick brown fox jumps over the lazy dog while the band plays on and on until morning comes at last"
+    texts = [base, base + " today", base.replace("quick", "slow"), "entirely different words in a short line", None, base]
+    sig = [None if t is None else dedupe.simhash(t) & (2**64 - 1) for t in texts]
+    parent = list(range(6))
+    for i, j in combinations(range(6), 2):
+        if sig[i] is not None and sig[j] is not None and bin(sig[i] ^ sig[j]).count("1") <= 3:
+            a, b = sorted((parent[i], parent[j]))
+            parent = [a if p == b else p for p in parent]
+    got = {r["id"]: r["group_id"] for r in dedupe.simhash_groups(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t").collect()}
+    for i, j in combinations(range(6), 2):
+        if sig[i] is not None and sig[j] is not None:
+            assert (got[i] == got[j]) == (parent[i] == parent[j])
+
+
+def test_phrases_mentions_and_targets(spark):
+    ents = spark.createDataFrame([("e1", "country", "Iran", ["إيران"]), ("e2", "system", "Kite-4", None), ("e3", "country", "Persia", ["Iran"])], "entity_id string, type string, canonical_name string, aliases array<string>")
+    docs = spark.createDataFrame([(1, "Iranian KITE 4 flew"), (2, "From iran, and إيران."), (3, None)], "id int, t string")
+    got = {(r["id"], r["entity_id"], r["n_aliases"]) for r in linking.phrase_matches(docs, ents, "id", "t").collect()}
+    assert got == {(1, "e2", 1), (2, "e1", 2), (2, "e3", 1)}
+    targets = {r["surface"]: (r["n_targets"], r["entity_id"]) for r in linking.alias_targets(spark.createDataFrame([("Iran",), ("kite 4",), ("x",)], "s string"), ents, "s").collect()}
+    assert targets == {"Iran": (2, None), "kite 4": (1, "e2"), "x": (0, None)}
+
+
+def test_unknown_names(spark):
+    docs = spark.createDataFrame([(1, "The MQ-9 and NATO met Alpha Beta Corp near Kasmar Bay")], "id int, t string")
+    known = spark.createDataFrame([(1, "kasmar")], "id int, alias_key string")
+    got = {r["value"] for r in linking.unknown_names(docs, known, "id", "t").collect()}
+    assert got == {"MQ-9", "NATO", "Alpha Beta Corp"}
+
+
+def test_lexical_candidates(spark):
+    ents = spark.createDataFrame([("e1", "country", "Kasmar", []), ("e2", "country", "Qasran", [])], "entity_id string, type string, canonical_name string, aliases array<string>")
+    got = linking.lexical_candidates(spark.createDataFrame([("Kasmarr",)], "s string"), ents, "s").collect()
+    assert [(r["entity_id"], r["rank"]) for r in got] == [("e1", 1), ("e2", 2)] and got[0]["ratio"] > 0.9
+
+
+def test_ranking_metrics(spark):
+    rows = [("good", 1, 2), ("good", 2, 1), ("good", 3, 0), ("bad", 1, 0), ("bad", 2, 1), ("bad", 3, 2), ("none", 1, 0)]
+    got = {r["q"]: (r["ndcg"], r["recall"]) for r in metrics.ranking_metrics(spark.createDataFrame(rows, "q string, p int, g int"), "q", "p", "g").collect()}
+    assert got["good"] == (1.0, 1.0) and 0 < got["bad"][0] < 1 and got["none"] == (0.0, 0.0)
+
+
+def test_micro_scores(spark):
+    c = metrics.label_confusion(spark.createDataFrame([(1, "a"), (1, "b"), (1, "b")], "id int, n string"), spark.createDataFrame([(1, "b"), (2, "c")], "id int, n string"), ["id", "n"])
+    row = metrics.micro_scores(c.withColumn("l", F.lit("en")), ["l"]).filter("l = 'all'").first()
+    assert (row["tp"], row["fp"], row["fn"], row["f1"]) == (1, 1, 1, 0.5)
+    sets = {r["id"]: tuple(map(tuple, (r["correct"], r["missing"], r["extra"]))) for r in metrics.set_diagnostics(c, "id", "n").collect()}
+    assert sets == {1: (("b",), (), ("a",)), 2: ((), ("c",), ())}
+
+
+def test_group_ranks_with_hot_and_null_groups(spark):
+    rows = [("hot", i) for i in range(500)] + [(None, 1), (None, 2), ("x", 7)]
+    got = sampling.group_ranks(spark.createDataFrame(rows, "g string, v int").repartition(7), "g", [F.desc("v")]).collect()
+    ranks = {(r["g"], r["v"]): r["rank"] for r in got}
+    assert all(ranks["hot", i] == 500 - i for i in range(500)) and ranks[None, 2] == 1 and ranks[None, 1] == 2 and ranks["x", 7] == 1
+
+
+def test_keyed_tables(spark):
+    old, new = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, t int, v string"), spark.createDataFrame([(1, 2, "c"), (2, 5, "d"), (3, 1, None)], "k int, t int, v string")
+    assert {tuple(r) for r in tables.upsert(old, new, ["k"], "t").collect()} == {(1, 2, "c"), (2, 5, "d"), (3, 1, None)}
+    row = tables.coverage(old, new, "k").first()
+    assert (row["in_both"], row["only_left"], row["only_right"], row["equal"]) == (2, 0, 1, False)
+    a = tables.table_digest(old, "k").collect()
+    assert {tuple(r) for r in a} == {tuple(r) for r in tables.table_digest(old.orderBy(F.desc("k")), "k").collect()}
+
+
+def test_document_errors(spark):
+    schema = "document_id string, source_id string, source_url string, published_at string, language string, title string, text string, review_status string, allowed_for_training boolean"
+    good = ("d", "s", "https://a.example/x", "2024-01-01T00:00:00Z", "en", "t", "x", "approved", True)
+    df = spark.createDataFrame([good, ("d", " ", "ftp://a", "01/02/2024", "en", "t", None, "approved", None)], schema)
+    valid, invalid = validate.divided(df.withColumn("errors", validate.document_errors(df)))
+    assert valid.count() == 1 and set(invalid.first()["errors"]) == {"source_id is empty", "text is empty", "source_url is no address", "published_at is no ISO date", "allowed_for_training is null"}
+
+
+def test_threshold_sweep(spark):
+    rows = [(0.9, True)] * 12 + [(0.7, False)] * 5
+    got = linking.threshold_sweep(spark.createDataFrame(rows, "s double, c boolean"), "s", "c").filter("chosen").first()
+    assert got["threshold"] == 0.705 and got["accepted"] == 12
