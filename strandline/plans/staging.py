@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,8 @@ def dropped(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def checked(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A staged table, marked for broadcast only if it has no more than so many rows; beyond that a join shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
