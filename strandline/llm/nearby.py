@@ -1,4 +1,9 @@
-"""Candidate pairs of similar texts: consistent weighted sampling over TF-IDF shingles, banded."""
+"""Candidate pairs of similar texts: consistent weighted sampling over TF-IDF shingles, banded.
+
+The weights of half of the bands are TF-IDF, of the other half all equal. Boilerplate weighs little in the
+first, so it brings few strangers together; the second still finds the versions of a story that a large part
+of all texts tells, whose own shingles TF-IDF takes for boilerplate.
+"""
 
 from __future__ import annotations
 
@@ -90,7 +95,9 @@ def signatures(df: DataFrame, text: str, table: np.ndarray, texts: int) -> DataF
         found, times = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
         sizes = np.concatenate([np.diff(h[4]) for h in held])
         offsets = np.concatenate(([0], np.cumsum(sizes)))
-        keys = sketch.band_keys(sketch.samples(found, weights(found, times, table, texts), offsets, ROWS * BANDS), BANDS, ROWS)
+        half = ROWS * BANDS // 2
+        weighted = sketch.samples(found, weights(found, times, table, texts), offsets, half)
+        keys = sketch.band_keys(np.hstack((weighted, sketch.samples(found, np.ones(len(found)), offsets, half))), BANDS, ROWS)
         keys = keys[sizes > 0]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0)))), pa.int32()), pa.array(keys.reshape(-1).view(np.int64), pa.int64()))
         rest = pa.Table.from_batches([h[0] for h in held]).combine_chunks()

@@ -19,8 +19,8 @@ from strandline.llm import textcodes
 
 # Letters that look alike, each group one shape; the first is the Latin or Arabic letter.
 LOOKALIKES = (
-    "aаɑα", "cсϲ", "dԁ", "eе", "gɡ", "hһ", "iіι", "jј", "kκк", "lӏ", "nո", "oоοօ", "pрρ", "qԛ", "sѕ", "uυս", "vνѵ", "wԝ", "xхχ", "yуγ",
-    "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "HНΗ", "IІΙӀ", "JЈ", "KКΚ", "MМΜ", "NΝ", "OОΟՕ", "PРΡ", "SЅՏ", "TТΤ", "UՍ", "VѴ", "WԜ", "XХΧ", "YΥҮ", "ZΖ",
+    "aаɑα", "cс", "dԁ", "eе", "gɡ", "hһ", "iіι", "jј", "kκк", "lӏ", "nո", "oоοօ", "pрρ", "qԛ", "sѕ", "uυս", "vνѵ", "wԝ", "xхχ", "yуγ",
+    "AАΑ", "BВΒ", "CС", "EЕΕ", "HНΗ", "IІΙӀ", "JЈ", "KКΚ", "MМΜ", "NΝ", "OОΟՕ", "PРΡ", "SЅՏ", "TТΤ", "UՍ", "VѴ", "WԜ", "XХΧ", "YΥҮ", "ZΖ",
     "كک", "يی", "هہ",
 )
 # Compatibility characters and marks that are already plain.

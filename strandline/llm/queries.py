@@ -108,4 +108,42 @@ named AS (
 ), votes AS (SELECT g, sp, count(*) AS n FROM named WHERE sp IS NOT NULL GROUP BY g, sp),
 most AS (SELECT g, sp FROM votes QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, CASE sp WHEN 'train' THEN 0 WHEN 'validation' THEN 1 WHEN 'test' THEN 2 ELSE 99 END, sp DESC) = 1)
 SELECT record_id FROM named JOIN most USING (g) WHERE named.sp IS NOT NULL AND named.sp <> most.sp""",
+    "p8_found": r"""
+WITH kept AS (
+  SELECT doc_id, rtrim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(160) || chr(8203) || chr(65279)) AS text FROM documents WHERE text IS NOT NULL AND trim(text) <> ''
+), split_up AS (SELECT doc_id, text, regexp_split_to_array(text, '[\r\n]+\s*') AS lines FROM kept),
+each_line AS (SELECT doc_id, len(lines) AS n, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM split_up),
+firsts AS (
+  SELECT lower(regexp_extract(line, '^\s*([—–-]?\s*[\p{L}\p{M}]+)', 1)) AS word, count(*) FILTER (pos = n) / count(*) AS last_share
+  FROM each_line WHERE n > 1 GROUP BY 1
+), tails AS (
+  SELECT doc_id, len(lines) AS n, rtrim(lines[-1]) AS last, rtrim(lines[-2]) AS prior, lower(regexp_extract(lines[-1], '^\s*([—–-]?\s*[\p{L}\p{M}]+)', 1)) AS word FROM split_up
+), signs AS (
+  SELECT t.*, n > 1 AND NOT regexp_matches(last, '[.!?؟。]+["”’»\x27)\]]*$') AND (
+    NOT regexp_matches(last, '\p{L}') OR regexp_matches(last, '^\s*[(\[].*[)\]]$') OR regexp_matches(last, 'https?://\S+$')
+    OR (coalesce(last_share, 0) >= 0.8 AND regexp_matches(last, '\S\s+\S'))) AS signed
+  FROM tails t LEFT JOIN firsts USING (word)
+), bodies AS (SELECT doc_id, n - signed::INT AS n_lines, CASE WHEN signed THEN prior ELSE last END AS whole FROM signs),
+cut_off AS (
+  SELECT *, regexp_matches(whole, '(\s*\[(…|\.{3}|\+\d+ chars)\]|…|\.{3}|&[#A-Za-z0-9]{0,7}|<[^<>]{0,200}|\\u?[0-9A-Fa-f]{0,4}|\x{FFFD}+)$') AS remains,
+    rtrim(regexp_replace(whole, '(\s*\[(…|\.{3}|\+\d+ chars)\]|…|\.{3}|&[#A-Za-z0-9]{0,7}|<[^<>]{0,200}|\\u?[0-9A-Fa-f]{0,4}|\x{FFFD}+)$', '')) AS body
+  FROM bodies
+), read AS (
+  SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[0-9\x{0660}-\x{0669}]+(?:[.,][0-9\x{0660}-\x{0669}]+)*|[\p{L}\p{M}\p{N}]+|[.!?؟。…]+|[\r\n]+'),
+    lambda t: CASE WHEN regexp_matches(t, '^[0-9\x{0660}-\x{0669}]') THEN '0' WHEN regexp_matches(t, '^[\r\n.!?؟。…]') THEN '¶' ELSE t END) AS w FROM kept
+), places AS (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM read WHERE len(w) >= 3),
+grams AS (SELECT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram, coalesce(w[i + 3], '¶') = '¶' AS last FROM places WHERE w[i] <> '¶' AND w[i + 1] <> '¶' AND w[i + 2] <> '¶'),
+counts AS (SELECT gram, count(*) FILTER (NOT last) AS inside, count(*) FILTER (last) AS terminal FROM grams GROUP BY 1),
+finals AS (
+  SELECT *, list_filter(list_transform(regexp_extract_all(lower(body), '[0-9\x{0660}-\x{0669}]+(?:[.,][0-9\x{0660}-\x{0669}]+)*|[\p{L}\p{M}\p{N}]+|[.!?؟。…]+|[\r\n]+'),
+    lambda t: CASE WHEN regexp_matches(t, '^[0-9\x{0660}-\x{0669}]') THEN '0' WHEN regexp_matches(t, '^[\r\n.!?؟。…]') THEN '¶' ELSE t END), lambda t: t <> '¶')[-3:] AS w
+  FROM cut_off WHERE length(body) > 0
+), judged AS (
+  SELECT f.*, coalesce(inside, 0) >= 100 AND terminal - 1 <= 0.005 * (inside + terminal) AS broken
+  FROM finals f LEFT JOIN counts ON len(w) = 3 AND gram = w[1] || ' ' || w[2] || ' ' || w[3]
+)
+SELECT doc_id FROM judged WHERE CASE
+  WHEN regexp_matches(body, '[.!?؟。]+["”’»\x27)\]]*$') THEN broken WHEN remains THEN true
+  WHEN regexp_matches(body, '^\s*[-*•]\s.*:\s*\p{N}+([.,]\p{N}+)*\s*$') THEN false
+  WHEN n_lines = 1 AND regexp_matches(body, '^\s*\p{L}{2,12}:\s') AND NOT regexp_matches(body, '[.!?؟。]["”’»)\]]*\s') THEN broken ELSE true END""",
 }

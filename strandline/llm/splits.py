@@ -56,18 +56,19 @@ def allocate(bundles: list[tuple[int, int, str | None]], shares: dict[str, float
         if not over:
             break
         # cheapest way from each split that has too much, over arcs that some bundle's rows can take
-        arc: dict[tuple[str, str], tuple[int, float, int]] = {}
+        arc: dict[tuple[str, str], tuple[int, int, float, int]] = {}
         for i, f in enumerate(flow):
             for a in names:
                 if f[a] > 1e-9:
                     for b in names:
                         if a != b:
-                            best = (costs[i][b] - costs[i][a], -f[a], i)
+                            # of equal costs the smallest components move: they can be rounded best
+                            best = (costs[i][b] - costs[i][a], bundles[i][0], -f[a], i)
                             if (a, b) not in arc or best < arc[a, b]:
                                 arc[a, b] = best
         dist = {j: (0, None) if j in over else (1 << 30, None) for j in names}
         for _ in names:
-            for (a, b), (c, _, _) in arc.items():
+            for (a, b), (c, *_) in arc.items():
                 if dist[a][0] + c < dist[b][0]:
                     dist[b] = (dist[a][0] + c, a)
         short = [j for j in names if quota[j] - held[j] > 1e-9 and dist[j][1] is not None]
@@ -78,10 +79,10 @@ def allocate(bundles: list[tuple[int, int, str | None]], shares: dict[str, float
         while dist[path[-1]][1] is not None and len(path) <= len(names):
             path.append(dist[path[-1]][1])
         path.reverse()
-        amount = min([held[path[0]] - quota[path[0]], quota[end] - held[end], *(-arc[a, b][1] for a, b in zip(path, path[1:]))])
+        amount = min([held[path[0]] - quota[path[0]], quota[end] - held[end], *(-arc[a, b][2] for a, b in zip(path, path[1:]))])
         for a, b in zip(path, path[1:]):
-            flow[arc[a, b][2]][a] -= amount
-            flow[arc[a, b][2]][b] += amount
+            flow[arc[a, b][3]][a] -= amount
+            flow[arc[a, b][3]][b] += amount
         held[path[0]] -= amount
         held[end] += amount
     out = [{j: int(f[j] / s + 1e-6) if s else 0 for j in names} for f, (s, _, _) in zip(flow, bundles)]

@@ -18,7 +18,7 @@ CLOSED = r"[.!?؟。]+[\"”’»\\x27)\\]]*$"
 REMAINS = r"(\\s*\\[(…|\\.{3}|\\+\\d+ chars)\\]|…|\\.{3}|&[#A-Za-z0-9]{0,7}|<[^<>]{0,200}|\\\\u?[0-9A-Fa-f]{0,4}|\\uFFFD+)$"
 ITEM = r"^\\s*[-*•]\\s.*:\\s*\\p{N}+([.,]\\p{N}+)*\\s*$"
 NOTICE = r"^\\s*\\p{L}{2,12}:\\s"
-#: A trigram is no end of a text if it is followed by a word at least so often, and ends a line in at most this share.
+#: A trigram is no end of a text if it is followed by a word at least so often, and ends a line in at most this share, the text's own end aside.
 INSIDE, TERMINAL = 100, 0.005
 #: A line whose first word begins last lines in at least this share is a sign-off.
 SIGN_OFF = 0.8
@@ -67,7 +67,7 @@ WITH kept AS (
   FROM (SELECT g, count(*) AS n FROM grams WHERE g IS NOT NULL GROUP BY g) GROUP BY shiftright(g, 1)
 ), judged AS (
   SELECT f.doc_id, f.source, f.signed, f.remains, f.closed, f.item, f.notice, coalesce(c.inside, 0) AS inside, coalesce(c.terminal, 0) AS terminal,
-         coalesce(c.inside, 0) >= {INSIDE} AND c.terminal <= {TERMINAL} * (c.inside + c.terminal) AS broken_gram
+         coalesce(c.inside, 0) >= {INSIDE} AND c.terminal - 1 <= {TERMINAL} * (c.inside + c.terminal) AS broken_gram
   FROM finals f LEFT JOIN counts c ON c.gram = f.gram
 )
 """

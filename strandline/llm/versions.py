@@ -11,12 +11,7 @@ from strandline.llm import textcodes
 from strandline.llm.nearby import WORDS, candidates, frequencies, signatures, weights
 from strandline.llm.plain import plain_all
 from strandline.operators.graph import connected_components
-from strandline.plans.staging import staged
-
-#: Least weighted similarity of a verified candidate. Weights favour rare runs, so that an edit, which
-#: makes runs found nowhere else, costs more than its share; two texts of plain similarity 0.6 stay above.
-WEIGHTED = 0.3
-
+from strandline.plans.staging import checked, staged
 
 def _verify(pairs: DataFrame, table: np.ndarray, texts: int) -> DataFrame:
     """Weighted and plain Jaccard similarity of each pair's two texts."""
@@ -42,10 +37,13 @@ def _verify(pairs: DataFrame, table: np.ndarray, texts: int) -> DataFrame:
     return pairs.mapInPandas(check, "a long, b long, weighted double, similarity double")
 
 
-def versions(rows: DataFrame, key: str, text: str, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
+def versions(rows: DataFrame, key: str, text: str, threshold: float = 0.6, weighted: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Records whose texts are similar, as (links between classes, members of classes).
 
-    links: a, b, weighted, similarity, with a <> b. members: cls and key, one row for each key; records of
+    links: a, b, weighted, similarity, with a <> b: candidates of at least the weighted (TF-IDF) Jaccard
+    similarity asked for and at least the plain one. No weighted one is asked for by default: the plain one
+    decides, also where a large part of all texts are versions of one and TF-IDF weighs their edits most.
+    members: cls and key, one row for each key; records of
     equal words share a class. A key that recurs counts once, with its least class if its texts differ.
     Null keys, null and empty texts and texts of fewer than three words are in no link and no class.
     """
@@ -56,10 +54,10 @@ def versions(rows: DataFrame, key: str, text: str, threshold: float = 0.6) -> tu
     classes = signed.groupBy("cls").agg(F.first("keys").alias("keys")).withColumns({"is_left": F.lit(True), "is_right": F.lit(True)})
     pairs = staged(candidates(classes))
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    speakers = members.join(wanted, "cls").groupBy("cls").agg(F.min("key").alias("key"))
-    texts = staged(named.join(speakers, "key").dropDuplicates(["cls"]).select("cls", "text"))
+    speakers = staged(members.join(wanted, "cls").groupBy("cls").agg(F.min("key").alias("key")))
+    texts = staged(named.join(checked(speakers), "key").dropDuplicates(["cls"]).select("cls", "text"))
     with_texts = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-    links = _verify(with_texts, table, n).filter((F.col("weighted") >= WEIGHTED) & (F.col("similarity") >= threshold))
+    links = _verify(with_texts, table, n).filter((F.col("weighted") >= weighted) & (F.col("similarity") >= threshold))
     return staged(links), members
 
 
