@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import sketch, textcodes
 from strandline.llm.plain import plain_all
+from strandline.plans.staging import staged
 
 #: Words of a shingle; samples of a band; bands; bands in which two texts must agree to be compared.
 WORDS, ROWS, BANDS, AGREE = 3, 3, 24, 2
@@ -124,15 +125,13 @@ def candidates(classes: DataFrame, directed: bool = False) -> DataFrame:
         .filter("n > 1 and l and r")
         .select("key", "n")
     )
-    members = keyed.join(met, "key")
-    crowded = members.filter(F.col("n") > CROWD).select("cls", "is_left", "is_right", "key")
-    divided = (
-        crowded.join(classes.select("cls", "keys"), "cls")
-        .select("cls", "is_left", "is_right", "key", F.explode("keys").alias("other"))
-        .filter("other <> key")
-        .select("cls", "is_left", "is_right", F.xxhash64("key", "other").alias("key"))
-    )
-    rest = members.filter(F.col("n") <= CROWD).select("cls", "is_left", "is_right", "key").union(divided)
+    # few are left: kept, so that the two ways from here do not join twice
+    members = staged(keyed.join(met, "key"))
+    slim = ["cls", "is_left", "is_right", "key"]
+    rest, crowded = members.filter(F.col("n") <= CROWD).select(*slim), members.filter(F.col("n") > CROWD).select(*slim)
+    if not crowded.isEmpty():
+        both = crowded.join(classes.select("cls", F.explode("keys").alias("other")), "cls").filter("other <> key")
+        rest = rest.union(both.select("cls", "is_left", "is_right", F.xxhash64("key", "other").alias("key")))
     left = rest.filter("is_left").select(F.col("cls").alias("a"), F.col("is_right").alias("ar"), "key")
     right = rest.filter("is_right").select(F.col("cls").alias("b"), F.col("is_left").alias("bl"), "key")
     return left.join(right, "key").filter("a <> b" if directed else "a <> b and (a < b or not (ar and bl))").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= AGREE).select("a", "b")
