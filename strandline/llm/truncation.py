@@ -24,10 +24,11 @@ INSIDE, TERMINAL = 100, 0.005
 SIGN_OFF = 0.8
 
 # A number, a word, a run of closing marks or of line ends.
-TOKEN = r"[0-9\u0660-\u0669]+(?:[.,][0-9\u0660-\u0669]+)*|[\p{L}\p{M}\p{N}]+|[.!?؟。…]+|[\r\n]+"
+TOKEN = r"[\p{L}\p{M}][\p{L}\p{M}\p{N}]*+|[0-9\u0660-\u0669]++(?:[.,][0-9\u0660-\u0669]++)*|\p{N}[\p{L}\p{M}\p{N}]*+|[.!?؟。…]+|[\r\n]+"
 _FIRST_WORD = r"^\s*([—–-]?\s*[\p{L}\p{M}]+)"
 # A token as a number: 0 for any number, 1 for an end, else the word's hash.
 _CODED = """transform(regexp_extract_all(lower({text}), r'{token}', 0), t -> CASE
+    WHEN ascii(t) BETWEEN 97 AND 122 OR ascii(t) BETWEEN 1569 AND 1610 THEN xxhash64(t)
     WHEN ascii(t) BETWEEN 48 AND 57 OR ascii(t) BETWEEN 1632 AND 1641 THEN 0L
     WHEN ascii(t) IN (10, 13, 33, 46, 63, 1567, 8230, 12290) THEN 1L ELSE xxhash64(t) END)"""
 
@@ -50,14 +51,16 @@ WITH kept AS (
            OR (coalesce(f.last_share, 0) >= {SIGN_OFF} AND last RLIKE r'\S\s+\S')) AS signed
   FROM tails t LEFT JOIN firsts f ON f.word = t.word
 ), bodies AS (
-  SELECT doc_id, source, signed, n - signed::int AS n_lines, IF(signed, prior, last) AS whole,
-         rtrim(regexp_replace(IF(signed, prior, last), '{REMAINS}', '')) AS body
-  FROM signs
+  SELECT doc_id, source, signed, n_lines, length(mark) > 0 AS remains, rtrim(left(whole, length(whole) - length(mark))) AS body
+  FROM (SELECT doc_id, source, signed, n - signed::int AS n_lines, IF(signed, prior, last) AS whole, regexp_extract(right(IF(signed, prior, last), 400), '{REMAINS}', 0) AS mark FROM signs)
 ), finals AS (
-  SELECT doc_id, source, signed, whole RLIKE '{REMAINS}' AS remains, body RLIKE '{CLOSED}' AS closed, body RLIKE '{ITEM}' AS item,
+  SELECT doc_id, source, signed, remains, right(body, 400) RLIKE '{CLOSED}' AS closed, body RLIKE '{ITEM}' AS item,
          n_lines = 1 AND body RLIKE '{NOTICE}' AND NOT body RLIKE r'[.!?؟。]["”’»)\]]*\s' AS notice,
          IF(size(w) >= 3, {{gram}}, NULL) AS gram
-  FROM (SELECT *, slice(filter({_CODED.format(text="body", token=TOKEN)}, t -> t <> 1), -3, 3) AS w FROM (SELECT *, 0 AS i FROM bodies) WHERE length(body) > 0)
+  FROM (
+    SELECT *, slice(IF(size(near) > 3 OR length(body) <= 300, near, filter({_CODED.format(text="body", token=TOKEN)}, t -> t <> 1)), -3, 3) AS w
+    FROM (SELECT *, 0 AS i, filter({_CODED.format(text="right(body, 300)", token=TOKEN)}, t -> t <> 1) AS near FROM bodies WHERE length(body) > 0)
+  )
 ), grams AS (
   SELECT explode(transform(sequence(0, size(w) - 3), i -> IF(w[i] = 1 OR w[i + 1] = 1 OR w[i + 2] = 1, NULL,
            shiftleft({{gram}}, 1) + IF(coalesce(get(w, i + 3), 1) = 1, 1, 0)))) AS g
