@@ -92,23 +92,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_assignment, p1_balance, p2_found, p2_plain, p3_tokens, p3_budget, p4_found, p4_report, p5_found, p5_groups, p6_contents, p6_fill, p7_chosen, p7_shares, p7_shards, p8_found, p8_rates)}
 
-ORACLES = {
-    "p1_found": """
-WITH RECURSIVE r AS (
-  SELECT record_id, nullif(lower(trim(source_id)), '') AS s, CASE WHEN trim(document_id) <> '' THEN document_id END AS d,
-         CASE WHEN lower(trim(split)) IN ('val', 'dev', 'valid', 'validation') THEN 'validation' ELSE nullif(lower(trim(split)), '') END AS sp
-  FROM domain_corpus_sample
-), e AS (SELECT DISTINCT a.s AS x, b.s AS y FROM r a JOIN r b ON a.d = b.d WHERE a.s IS NOT NULL AND b.s IS NOT NULL),
-reach AS (SELECT s AS x, s AS y FROM r WHERE s IS NOT NULL UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
-root AS (SELECT x, min(y) AS g FROM reach GROUP BY x),
-doc AS (SELECT d, min(s) AS s FROM r WHERE d IS NOT NULL GROUP BY d),
-named AS (
-  SELECT r.record_id, r.sp, CASE WHEN root.g IS NOT NULL THEN 's:' || root.g WHEN r.d IS NOT NULL THEN 'd:' || r.d ELSE 'r:' || r.record_id END AS g
-  FROM r LEFT JOIN doc ON doc.d = r.d LEFT JOIN root ON root.x = coalesce(doc.s, r.s)
-), votes AS (SELECT g, sp, count(*) AS n FROM named WHERE sp IS NOT NULL GROUP BY g, sp),
-most AS (SELECT g, sp FROM votes QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, CASE sp WHEN 'train' THEN 0 WHEN 'validation' THEN 1 WHEN 'test' THEN 2 ELSE 99 END, sp DESC) = 1)
-SELECT record_id FROM named JOIN most USING (g) WHERE named.sp IS NOT NULL AND named.sp <> most.sp""",
-    "p8_found": r"""
+_JUDGED = r"""
 WITH kept AS (
   SELECT doc_id, rtrim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(160) || chr(8203) || chr(65279)) AS text FROM documents WHERE text IS NOT NULL AND trim(text) <> ''
 ), split_up AS (SELECT doc_id, text, regexp_split_to_array(text, '[\r\n]+\s*') AS lines FROM kept),
@@ -142,8 +126,28 @@ finals AS (
   SELECT f.*, coalesce(inside, 0) >= 100 AND terminal - 1 <= 0.005 * (inside + terminal) AS broken
   FROM finals f LEFT JOIN counts ON len(w) = 3 AND gram = w[1] || ' ' || w[2] || ' ' || w[3]
 )
-SELECT doc_id FROM judged WHERE CASE
+"""
+_CUT = r"""CASE
   WHEN regexp_matches(body, '[.!?؟。]+["”’»\x27)\]]*$') THEN broken WHEN remains THEN true
   WHEN regexp_matches(body, '^\s*[-*•]\s.*:\s*\p{N}+([.,]\p{N}+)*\s*$') THEN false
-  WHEN n_lines = 1 AND regexp_matches(body, '^\s*\p{L}{2,12}:\s') AND NOT regexp_matches(body, '[.!?؟。]["”’»)\]]*\s') THEN broken ELSE true END""",
+  WHEN n_lines = 1 AND regexp_matches(body, '^\s*\p{L}{2,12}:\s') AND NOT regexp_matches(body, '[.!?؟。]["”’»)\]]*\s') THEN broken ELSE true END"""
+
+ORACLES = {
+    "p1_found": """
+WITH RECURSIVE r AS (
+  SELECT record_id, nullif(lower(trim(source_id)), '') AS s, CASE WHEN trim(document_id) <> '' THEN document_id END AS d,
+         CASE WHEN lower(trim(split)) IN ('val', 'dev', 'valid', 'validation') THEN 'validation' ELSE nullif(lower(trim(split)), '') END AS sp
+  FROM domain_corpus_sample
+), e AS (SELECT DISTINCT a.s AS x, b.s AS y FROM r a JOIN r b ON a.d = b.d WHERE a.s IS NOT NULL AND b.s IS NOT NULL),
+reach AS (SELECT s AS x, s AS y FROM r WHERE s IS NOT NULL UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+root AS (SELECT x, min(y) AS g FROM reach GROUP BY x),
+doc AS (SELECT d, min(s) AS s FROM r WHERE d IS NOT NULL GROUP BY d),
+named AS (
+  SELECT r.record_id, r.sp, CASE WHEN root.g IS NOT NULL THEN 's:' || root.g WHEN r.d IS NOT NULL THEN 'd:' || r.d ELSE 'r:' || r.record_id END AS g
+  FROM r LEFT JOIN doc ON doc.d = r.d LEFT JOIN root ON root.x = coalesce(doc.s, r.s)
+), votes AS (SELECT g, sp, count(*) AS n FROM named WHERE sp IS NOT NULL GROUP BY g, sp),
+most AS (SELECT g, sp FROM votes QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, CASE sp WHEN 'train' THEN 0 WHEN 'validation' THEN 1 WHEN 'test' THEN 2 ELSE 99 END, sp DESC) = 1)
+SELECT record_id FROM named JOIN most USING (g) WHERE named.sp IS NOT NULL AND named.sp <> most.sp""",
+    "p8_found": _JUDGED + f"SELECT doc_id FROM judged WHERE {_CUT}",
+    "p8_rates": _JUDGED + f"SELECT d.source, count(*) AS n_texts, count(*) FILTER ({_CUT}) AS n_cut, count(*) FILTER ({_CUT}) / count(*) AS cut_rate FROM judged JOIN documents d USING (doc_id) GROUP BY 1",
 }
