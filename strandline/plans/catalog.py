@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions import records as R
 from strandline.functions import text as T
-from strandline.operators import dedupe, linking, metrics, neighbours, ranking, sampling, tables, validate
+from strandline.operators import dedupe, linker, linking, metrics, neighbours, ranking, sampling, tables, validate
 from strandline.streaming import streams
 
 QUERIES: dict = {}
@@ -425,3 +426,65 @@ def nation_revenue(spark: SparkSession, d: str) -> DataFrame:
     perorder = rows.groupBy("l_orderkey").agg(F.sum("r").alias("r"))
     joined = perorder.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("r"), 2).cast("double").alias("revenue"))
+
+
+_CMP = f"WITH {_EX}, {_TAGS}, {_want('required_filters')} SELECT user_id, example_id, category, string_agg(norm, '|' ORDER BY norm) AS matched FROM want JOIN tags USING (category, norm) GROUP BY 1, 2, 3"
+
+
+@_query(_CMP)
+def filter_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """The required names that each record meets, by user and category."""
+    required, tags = ranking.long_tags(_t(spark, d, "users"), "user_id", F.col("required_filters")), ranking.long_tags(_examples(spark, d), "example_id", _tags())
+    met = tags.select("example_id", "category", "norm").distinct().join(required.select("user_id", "category", "norm").distinct(), ["category", "norm"])
+    return met.groupBy("user_id", "example_id", "category").agg(F.array_join(F.array_sort(F.collect_set("norm")), "|").alias("matched"))
+
+
+@_query("SELECT DISTINCT article.article_id AS article_id, CASE WHEN coalesce(trim(article.title), '') = '' AND coalesce(trim(article.body), '') = '' THEN NULL WHEN coalesce(trim(article.title), '') = '' OR trim(article.title) = trim(article.body) THEN trim(article.body) WHEN coalesce(trim(article.body), '') = '' THEN trim(article.title) ELSE trim(article.title) || chr(10) || chr(10) || trim(article.body) END AS content FROM example_ranking")
+def article_contents(spark: SparkSession, d: str) -> DataFrame:
+    """The text that an article is read as."""
+    r = _t(spark, d, "example_ranking").select("article.article_id", "article.title", "article.body").distinct()
+    return r.select("article_id", R.distinct_parts("title", "body").alias("content")).distinct()
+
+
+@_query(f"WITH {_EX}, {_TAGS}, k AS (SELECT example_id, string_agg(norm, '|' ORDER BY norm) AS names, count(*) AS n FROM (SELECT DISTINCT example_id, norm FROM tags WHERE category <> 'topics') GROUP BY 1 HAVING count(*) >= 3) SELECT names, count(*) AS n_examples, min(example_id) AS first_id FROM k GROUP BY 1 HAVING count(*) > 1")
+def same_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Records that name just the same three or more entities."""
+    tags = ranking.long_tags(_examples(spark, d), "example_id", _tags()).filter(F.col("category") != "topics")
+    sets = tags.groupBy("example_id").agg(F.array_sort(F.collect_set("norm")).alias("s")).filter(F.size("s") >= 3)
+    return sets.groupBy(F.array_join("s", "|").alias("names")).agg(F.count(F.lit(1)).alias("n_examples"), F.min("example_id").alias("first_id")).filter("n_examples > 1")
+
+
+@_query("WITH m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2), v AS (SELECT label, max(n) AS n, sqrt(sum(m * m)) AS norm FROM m GROUP BY 1) SELECT m.label, v.n, i AS dim, round(m / norm, 5) AS x FROM m JOIN v USING (label)")
+def label_centres(spark: SparkSession, d: str) -> DataFrame:
+    """The mean vector of each label at length one, a row for each dimension."""
+    pooled = linker.pooled_vectors(_t(spark, d, "embeddings"), "label", "embedding")
+    return pooled.select("label", "n", F.posexplode("vector").alias("dim", "x")).select("label", "n", "dim", F.round("x", 5).alias("x"))
+
+
+@_query()
+def vector_map(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors on three principal axes."""
+    return linker.plane(_t(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+@_query()
+def neighbour_scores(spark: SparkSession, d: str) -> DataFrame:
+    """How likely a neighbour has the same label, by a model trained on half of the query vectors."""
+    rows = _neighbour_labels(spark, d).withColumn("train", F.col("query") % 200 == 0).withColumn("place", F.col("rank").cast("double"))
+    return linker.link_scores(rows, ["similarity", "place"], "correct", "train").select("query", "key", F.round("link_score", 6).alias("link_score"), "correct")
+
+
+@_query(f"WITH {_EX} SELECT example_id, to_json([struct_pack(role := 'system', content := 'List the names.'), struct_pack(role := 'user', content := text), struct_pack(role := 'assistant', content := to_json(struct_pack(countries := labels.countries, organizations := labels.organizations))::VARCHAR)])::VARCHAR AS messages FROM ex WHERE text IS NOT NULL AND labels.countries IS NOT NULL AND labels.organizations IS NOT NULL")
+def chat_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Examples as messages of a chat."""
+    ex = _examples(spark, d).filter("text is not null and labels.countries is not null and labels.organizations is not null")
+    return ex.select("example_id", R.chat_messages("List the names.", "text", F.struct("labels.countries", "labels.organizations")).alias("messages"))
+
+
+@_query("WITH r AS (SELECT record_id, CASE WHEN lower(substr(language, 1, 2)) = 'ar' THEN 'ar' ELSE 'en' END AS lang FROM domain_corpus_sample WHERE lower(substr(language, 1, 2)) IN ('en', 'ar')), t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256(record_id::VARCHAR)) AS turn FROM r), c AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM r GROUP BY lang)) SELECT record_id, lang, turn, turn <= least AS paired FROM t, c")
+def paired_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Records of two languages side by side as far as the shorter goes, the rest after them."""
+    r = _t(spark, d, "domain_corpus_sample").select("record_id", F.lower(F.substring("language", 1, 2)).alias("lang"), F.sha2(F.col("record_id").cast("string"), 256).alias("h")).filter("lang in ('en', 'ar')")
+    turns = sampling.round_robin(r, "lang", [F.asc("h")])
+    least = r.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
+    return turns.crossJoin(F.broadcast(least)).select("record_id", "lang", "turn", (F.col("turn") <= F.col("least")).alias("paired"))

@@ -141,3 +141,19 @@ def test_threshold_sweep(spark):
     rows = [(0.9, True)] * 12 + [(0.7, False)] * 5
     got = linking.threshold_sweep(spark.createDataFrame(rows, "s double, c boolean"), "s", "c").filter("chosen").first()
     assert got["threshold"] == 0.705 and got["accepted"] == 12
+
+
+def test_staged_tables_use_the_named_folder(spark):
+    from strandline.plans import staging
+
+    class Unset:
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    assert staging.shared_dir(Unset).startswith("file:///tmp/spark-")
+    assert staging.shared_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or staging._own()).rstrip("/")
+    small = staging.staged(spark.range(5))
+    assert small.count() == 5 and staging.checked(small, 4) is small and staging.checked(small, 5) is not small
+    staging.dropped(small)
