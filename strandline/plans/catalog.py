@@ -446,11 +446,11 @@ def article_contents(spark: SparkSession, d: str) -> DataFrame:
     return r.select("article_id", R.distinct_parts("title", "body").alias("content")).distinct()
 
 
-@_query(f"WITH {_EX}, {_TAGS}, k AS (SELECT example_id, string_agg(norm, '|' ORDER BY norm) AS names, count(*) AS n FROM (SELECT DISTINCT example_id, norm FROM tags WHERE category <> 'topics') GROUP BY 1 HAVING count(*) >= 3) SELECT names, count(*) AS n_examples, min(example_id) AS first_id FROM k GROUP BY 1 HAVING count(*) > 1")
+@_query(f"WITH {_EX}, {_TAGS}, k AS (SELECT example_id, string_agg(norm, '|' ORDER BY norm) AS names, count(*) AS n FROM (SELECT DISTINCT example_id, norm FROM tags WHERE category <> 'topics') GROUP BY 1 HAVING count(*) >= 2) SELECT names, count(*) AS n_examples, min(example_id) AS first_id FROM k GROUP BY 1 HAVING count(*) > 1")
 def same_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Records that name just the same three or more entities."""
+    """Records that name just the same two or more entities."""
     tags = ranking.long_tags(_examples(spark, d), "example_id", _tags()).filter(F.col("category") != "topics")
-    sets = tags.groupBy("example_id").agg(F.array_sort(F.collect_set("norm")).alias("s")).filter(F.size("s") >= 3)
+    sets = tags.groupBy("example_id").agg(F.array_sort(F.collect_set("norm")).alias("s")).filter(F.size("s") >= 2)
     return sets.groupBy(F.array_join("s", "|").alias("names")).agg(F.count(F.lit(1)).alias("n_examples"), F.min("example_id").alias("first_id")).filter("n_examples > 1")
 
 
