@@ -68,6 +68,24 @@ def samples(shingles: np.ndarray, weights: np.ndarray, offsets: np.ndarray, k: i
     return out
 
 
+def equal_samples(shingles: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
+    """k consistent samples of each text with all weights equal: with one weight, the least hash is the sample.
+
+    The sample of two texts agrees with a probability that is their plain Jaccard similarity. Texts without
+    shingles get zeros.
+    """
+    out = np.zeros((len(offsets) - 1, k), np.uint32)
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    if not len(full):
+        return out
+    s, index = np.unique(shingles, return_inverse=True)
+    begin = offsets[:-1][full]
+    for j in range(k):
+        hashes = (mix(s ^ np.uint64((j + 1) * 0x2545F4914F6CDD1D & (2**64 - 1))) >> np.uint64(32)).astype(np.uint32)
+        out[full, j] = np.minimum.reduceat(hashes[index], begin)
+    return out
+
+
 def band_keys(samples_: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One key for each band of so many samples."""
     with np.errstate(over="ignore"):

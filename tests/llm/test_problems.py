@@ -183,6 +183,36 @@ def test_crowded_buckets_are_divided(spark):
     assert len({r["group_id"] for r in versions.version_groups(df, "id", "body").collect()}) == 1
 
 
+def told_by_a_third(n, seed):
+    """Texts of which every third tells one story, its versions of similarity about 0.6 to 0.7."""
+    rng = random.Random(seed)
+    base = [rng.choice(NOUNS) for _ in range(90)]
+    out = []
+    for i in range(n):
+        w = [rng.choice(NOUNS) for _ in range(90)]
+        if i % 3 == 0:
+            w = list(base)
+            at = rng.randrange(80)
+            w[at : at + 5] = [f"only{i}x{j}" for j in range(5)]
+            w[rng.randrange(90)] = f"only{i}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_versions_of_a_story_told_by_a_third(spark):
+    texts = told_by_a_third(240, 11)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string").withColumn("split", F.when(F.col("id") % 2 == 0, "train").otherwise("test")).withColumn("source_id", F.lit("s"))
+    runs = [grams(t) for t in texts]
+    want = {(a, b) for a, b in combinations(range(240), 2) if len(runs[a] & runs[b]) >= 0.6 * len(runs[a] | runs[b])}
+    assert sum(similar(texts[a], texts[b]) < 0.7 for a, b in want) > 1500
+    got = {(r["id_a"], r["id_b"]) for r in versions.version_pairs(df, "id", "body").collect()}
+    assert got <= want and len(got) > 0.98 * len(want)
+    across = {(a, b) for a, b in want if a % 2 != b % 2}
+    met = {(r["id_a"], r["id_b"]) for r in overlap.overlap_pairs(df, "id", text="body").collect()}
+    assert met <= across and len(met) > 0.98 * len(across)
+    print(f"third: p5 {len(got)} of {len(want)}, p4 {len(met)} of {len(across)}")
+
+
 # problem 6
 
 
