@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.llm.textcodes import mix
 from strandline.llm.tokens import TOKENIZER, token_count
 from strandline.plans.staging import staged
 
@@ -24,12 +25,12 @@ def quotas(targets: DataFrame, amounts: DataFrame) -> DataFrame:
     no tokens are left out of the shares' sum and get nothing. Negative or null shares count as 0.
     """
     known = targets.select("mix_id", "source", F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
-    mix = Window.partitionBy("mix_id")
+    whole = Window.partitionBy("mix_id")
     usable = (F.col("available") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     found = known.join(amounts, "source", "left").fillna({"available": 0, "n_docs": 0})
-    norm = F.col("target_share") / F.sum(F.when(usable, F.col("target_share"))).over(mix)
+    norm = F.col("target_share") / F.sum(F.when(usable, F.col("target_share"))).over(whole)
     shared = found.withColumn("share", F.when(usable, norm).otherwise(F.lit(0.0)))
-    most = F.min(F.when(usable, F.col("max_repeats") * F.col("available") / F.col("share"))).over(mix)
+    most = F.min(F.when(usable, F.col("max_repeats") * F.col("available") / F.col("share"))).over(whole)
     sized = shared.withColumn("quota", F.when(usable, F.col("share") * most).otherwise(F.lit(0.0)))
     passes = F.when(usable, F.least(F.floor(F.col("quota") / F.col("available") + 1e-9), F.col("max_repeats").cast("long"))).otherwise(F.lit(0))
     return sized.withColumn("passes", passes).withColumn("rest", F.greatest(F.col("quota") - F.col("passes") * F.coalesce("available", F.lit(0)), F.lit(0.0)))
@@ -54,6 +55,25 @@ def leaf(blocks: np.ndarray, shards: int, shard: int, seed: int) -> np.ndarray:
     return here
 
 
+def permuted(place: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Where a seeded permutation of the numbers below size takes each place, without a sort or a table.
+
+    Four Feistel rounds over the least even number of bits that holds size; what falls outside goes on.
+    """
+    half = np.array([max(1, (int(n - 1).bit_length() + 1) // 2) for n in size], np.uint64)
+    low = (np.uint64(1) << half) - np.uint64(1)
+    out, seed = place.astype(np.uint64), seed.astype(np.int64).view(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        h, m = half[todo], low[todo]
+        a, b = out[todo] >> h, out[todo] & m
+        for k in range(4):
+            a, b = b, a ^ (mix(mix(seed[todo] ^ np.uint64(k)) ^ b) & m)
+        out[todo] = a << h | b
+        todo = todo[out[todo] >= size[todo].astype(np.uint64)]
+    return out.astype(np.int64)
+
+
 def chosen(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", path: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(chosen texts, quotas). Chosen: mix_id, source, doc_id, tokens, place in its source, uses.
 
@@ -80,7 +100,8 @@ def chosen(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text:
     used = ranked.join(plan.filter("quota > 0").select("mix_id", "source", "passes", "rest", "max_repeats"), "source")
     extra = (F.col("start") + F.col("tokens") / 2 <= F.col("rest")) & (F.col("passes") < F.col("max_repeats"))
     taken = used.withColumn("uses", F.col("passes") + extra.cast("long")).filter("uses > 0")
-    return taken.select("mix_id", "source", "doc_id", "tokens", "place", "uses"), plan
+    # kept: the draws are numbered from sums over it
+    return staged(taken.select("mix_id", "source", "doc_id", "tokens", "place", "uses")), plan
 
 
 def shares(taken: DataFrame, plan: DataFrame) -> DataFrame:
@@ -91,34 +112,46 @@ def shares(taken: DataFrame, plan: DataFrame) -> DataFrame:
     return both.withColumn("reached_share", F.when(total > 0, F.col("tokens") / total).otherwise(F.lit(0.0)))
 
 
-def shards(taken: DataFrame, plan: DataFrame) -> DataFrame:
-    """The draws of each mix in output shards: mix_id, shard, position, source, doc_id, pass, tokens.
+def placed(taken: DataFrame) -> DataFrame:
+    """The draws of each mix and the output shard that each goes to: mix_id, shard, source, doc_id, place, pass, tokens.
 
-    A source's draws, pass after pass in its hash order, are cut into blocks. A splitting tree gives each shard
-    exact numbers of each source's blocks, the shard takes the next of them, and its draws are shuffled.
+    A source's draws, pass after pass in its hash order, are cut into blocks, whose numbers are permuted. A
+    splitting tree gives each shard exact numbers of each source's blocks; the shard takes the next of them.
     """
     draws = taken.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), "uses")))
     # a pass is as long as the source has chosen texts with so many uses; places of later passes follow earlier ones
-    lengths = taken.groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("m"))
-    numbered = draws.join(lengths, ["mix_id", "source"]).withColumn("block", F.floor(((F.col("pass") - 1) * F.col("m") + F.col("place") % F.col("m")) / BLOCK))
-    blocks = taken.groupBy("mix_id", "source").agg(F.sum("uses").alias("draws"), F.max("uses").alias("most"), F.count(F.lit(1)).alias("m"), F.sum(F.col("tokens") * F.col("uses")).alias("tokens"))
-    sizes = numbered.groupBy("mix_id", "source").agg((F.max("block") + 1).alias("blocks"))
-    mixes = blocks.groupBy("mix_id").agg(F.greatest(F.lit(1), F.ceil(F.sum("tokens") / SHARD_TOKENS)).cast("int").alias("n_shards"))
-    vector = sizes.groupBy("mix_id").agg(F.array_sort(F.collect_list(F.struct("source", "blocks"))).alias("sources"))
-    leaves = mixes.join(vector, "mix_id").select("mix_id", "n_shards", "sources", F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1)).alias("shard"))
+    amounts = taken.groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.sum("uses") / BLOCK).alias("blocks"), F.sum(F.col("tokens") * F.col("uses")).alias("tokens"))
+    numbered = draws.join(amounts.select("mix_id", "source", "m"), ["mix_id", "source"]).withColumn("block", F.floor(((F.col("pass") - 1) * F.col("m") + F.col("place") % F.col("m")) / BLOCK))
+    leaves = amounts.groupBy("mix_id").agg(
+        F.greatest(F.lit(1), F.ceil(F.sum("tokens") / SHARD_TOKENS)).cast("int").alias("n_shards"), F.array_sort(F.collect_list(F.struct("source", "blocks"))).alias("sources")
+    ).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1)))
 
     def draw(frames):
         for pdf in frames:
             out = []
             for m, n, names, shard in zip(pdf.mix_id, pdf.n_shards, pdf.sources, pdf.shard):
                 got = leaf(np.array([x["blocks"] for x in names]), n, shard, zlib.crc32(f"{SEED}:{m}".encode()))
-                out += [(m, x["source"], shard, int(k)) for x, k in zip(names, got) if k]
-            yield pd.DataFrame(out, columns=["mix_id", "source", "shard", "k"])
+                out += [(m, x["source"], shard, int(k), int(x["blocks"])) for x, k in zip(names, got) if k]
+            yield pd.DataFrame(out, columns=["mix_id", "source", "shard", "k", "blocks"])
+
+    @F.pandas_udf("long")
+    def block(at: pd.Series, size: pd.Series, seed: pd.Series) -> pd.Series:
+        return pd.Series(permuted(at.to_numpy(), size.to_numpy(), seed.to_numpy()))
 
-    # every shard's blocks of a source are the next after those of the shards before it
-    given = leaves.mapInPandas(draw, "mix_id string, source string, shard int, k long")
+    # every shard's blocks of a source are, in the permutation, the next after those of the shards before it
+    given = leaves.select("mix_id", "n_shards", "sources", "shard").mapInPandas(draw, "mix_id string, source string, shard int, k long, blocks long")
     upto = F.sum("k").over(Window.partitionBy("mix_id", "source").orderBy("shard"))
-    spread = given.withColumn("upto", upto).select("mix_id", "source", "shard", F.explode(F.sequence(F.col("upto") - F.col("k"), F.col("upto") - 1)).alias("block"))
-    placed = numbered.join(spread, ["mix_id", "source", "block"])
+    spread = given.withColumn("upto", upto).select("mix_id", "source", "shard", "blocks", F.explode(F.sequence(F.col("upto") - F.col("k"), F.col("upto") - 1)).alias("at"))
+    spread = spread.select("mix_id", "source", "shard", block("at", "blocks", F.xxhash64("mix_id", "source", F.lit(SEED))).alias("block"))
+    return numbered.join(spread, ["mix_id", "source", "block"]).select("mix_id", "shard", "source", "doc_id", "place", "pass", "tokens")
+
+
+def drawn(taken: DataFrame) -> DataFrame:
+    """The chosen texts as the shards hold them: mix_id, source, doc_id, tokens, place, uses over all shards."""
+    return placed(taken).groupBy("mix_id", "source", "doc_id", "tokens", "place").agg(F.count(F.lit(1)).alias("uses"))
+
+
+def shards(taken: DataFrame, plan: DataFrame) -> DataFrame:
+    """The draws of each mix in output shards, shuffled in each: mix_id, shard, position, source, doc_id, pass, tokens."""
     local = Window.partitionBy("mix_id", "shard").orderBy(F.xxhash64("doc_id", "pass", F.lit(SEED)), "source", "doc_id", "pass")
-    return placed.withColumn("position", F.row_number().over(local)).select("mix_id", "shard", "position", "source", "doc_id", "pass", "tokens")
+    return placed(taken).withColumn("position", F.row_number().over(local)).select("mix_id", "shard", "position", "source", "doc_id", "pass", "tokens")

@@ -71,11 +71,12 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_chosen(spark: SparkSession, d: str) -> DataFrame:
     taken, _ = mixing.chosen(table(spark, d, "documents"), table(spark, d, "mix_targets"))
-    return taken.select("mix_id", "source", "doc_id", "tokens", "uses")
+    return mixing.drawn(taken).select("mix_id", "source", "doc_id", "tokens", "uses")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(*mixing.chosen(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+    taken, plan = mixing.chosen(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.shares(mixing.drawn(taken), plan)
 
 
 def p7_shards(spark: SparkSession, d: str) -> DataFrame:

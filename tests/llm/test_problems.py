@@ -288,6 +288,29 @@ def test_splitting_tree_is_exact():
     assert (got.sum(0) == blocks).all() and (got >= 0).all() and np.ptp(got.sum(1)) <= 2
 
 
+def test_repeats_are_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 3000)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(NOUNS) for _ in range(rng.randrange(5, 40))), s) for i, s in enumerate(["big"] * 400 + ["small"] * 150)] + [(401, "again words", "small")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("m", "big", 0.5, 1), ("m", "small", 0.5, 3)], "mix_id string, source string, target_share double, max_repeats int")
+    taken, plan = mixing.chosen(df, targets)
+    draws = [r for r in mixing.shards(taken, plan).collect() if r["source"] == "small"]
+    passes = {h: {r["pass"] for r in draws if (2 * r["shard"] > max(d["shard"] for d in draws)) == h} for h in (False, True)}
+    assert max(r["shard"] for r in draws) >= 3 and passes[False] == passes[True] and len(passes[True]) >= 2
+    key = lambda r: (r["mix_id"], r["source"], r["doc_id"], r["tokens"], r["place"], r["uses"])
+    assert sorted(map(key, mixing.drawn(taken).collect())) == sorted(map(key, taken.collect()))
+    assert mixing.drawn(mixing.chosen(df.limit(0), targets)[0]).count() == 0
+
+
+def test_permutations_are_whole():
+    import numpy as np
+
+    for n in (1, 2, 5, 64, 1000):
+        got = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, -7))
+        assert sorted(got) == list(range(n)) and (n < 64 or abs(np.corrcoef(got, np.arange(n))[0, 1]) < 0.3)
+
+
 # problem 8
 
 
