@@ -63,7 +63,7 @@ class WordIndex:
         return np.searchsorted(self.by_text, base + high) - np.searchsorted(self.by_text, base + low)
 
     def matches(self, words: np.ndarray, offsets: np.ndarray, query: np.ndarray, text: np.ndarray) -> dict[str, np.ndarray]:
-        """Each query read backwards, cut into maximal matches with its text; all pairs move in step.
+        """Each query read backwards and cut, without overlaps, into matches with its text; all pairs move in step.
 
         Returns for each pair the words in matches of three or more words, the longest match, the number of
         such matches and the number of three-word runs inside them.
@@ -99,3 +99,74 @@ class WordIndex:
             size[live[over]] = 0
             live = live[~over]
         return {"covered": covered, "longest": longest, "spans": spans, "inside": inside}
+
+    def occurs(self, symbol: np.ndarray, at: np.ndarray, size: np.ndarray, text: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether the words from at on, so many, stand in the text (any text for None), and their intervals."""
+        low, high, ok = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64), np.ones(len(at), bool)
+        for k in range(int(size.max(initial=0))):
+            live = np.flatnonzero(ok & (size > k))
+            c = symbol[at[live] + size[live] - 1 - k]
+            low[live], high[live] = self.extend(np.maximum(c, 0), low[live], high[live])
+            ok[live] = (c > 0) & (low[live] < high[live])
+        if text is not None:
+            ok[ok] = self.within(text[ok], low[ok], high[ok]) > 0
+        return ok, low, high
+
+    def maximal(self, words: np.ndarray, offsets: np.ndarray, query: np.ndarray, text: np.ndarray | None, counts: np.ndarray) -> dict[str, np.ndarray]:
+        """All maximal matches of each query with its text (with any text of the index for None); all pairs move in step.
+
+        Each query is read backwards. Where a match cannot take the word before it, it is closed and shortened
+        from its right end until it can. Matches of three or more words count; those that overlap are one
+        span. Returns for each pair the longest match, the words in spans, the number of spans and, as
+        inside, the sum of counts (a number for each word) over the words that begin a three-word run of a match.
+        """
+        symbol = self.symbols(words)
+        before = np.concatenate(([0], np.cumsum(counts)))
+        m = len(query)
+        # the match is [at + 1, end); words from edge on are in spans, runs from begun on are counted
+        at, stop, end = offsets[1:][query] - 1, offsets[:-1][query], offsets[1:][query].copy()
+        low, high = np.zeros(m, np.int64), np.full(m, self.n, np.int64)
+        edge, begun = end + 1, end.copy()
+        covered, longest, spans, inside = (np.zeros(m, np.int64) for _ in range(4))
+
+        def close(i: np.ndarray) -> None:
+            i = i[end[i] - at[i] - 1 >= 3]
+            first, after = at[i] + 1, end[i]
+            longest[i] = np.maximum(longest[i], after - first)
+            covered[i] += np.minimum(after, edge[i]) - first
+            spans[i] += after <= edge[i]
+            inside[i] += before[np.minimum(after - 2, begun[i])] - before[first]
+            edge[i] = begun[i] = first
+
+        live = np.flatnonzero(at >= stop)
+        while len(live):
+            c = symbol[at[live]]
+            a, b = self.extend(np.maximum(c, 0), low[live], high[live])
+            ok = (c > 0) & (a < b)
+            if text is not None:
+                ok[ok] = self.within(text[live[ok]], a[ok], b[ok]) > 0
+            go, over = live[ok], live[~ok]
+            low[go], high[go] = a[ok], b[ok]
+            if len(over):
+                close(over)
+                self._shorten(symbol, at, end, low, high, over, text)
+            at[live] -= 1
+            done = at[live] < stop[live]
+            close(live[done])
+            live = live[~done]
+        return {"covered": covered, "longest": longest, "spans": spans, "inside": inside}
+
+    def _shorten(self, symbol, at, end, low, high, i, text) -> None:
+        """Sets the end and the interval of the longest matches that begin at the words at[i], of no more words
+        than the matches behind them: doubled until they fail, then halved."""
+        fits, fails = np.zeros(len(i), np.int64), end[i] - at[i]
+        failed = np.zeros(len(i), bool)
+        low[i], high[i] = 0, self.n
+        while len(open_ := np.flatnonzero(fails - fits > 1)):
+            f, g = fits[open_], fails[open_]
+            size = np.where(failed[open_], (f + g) // 2, np.minimum(np.maximum(1, 2 * f), g - 1))
+            ok, a, b = self.occurs(symbol, at[i[open_]], size, None if text is None else text[i[open_]])
+            good, bad = open_[ok], open_[~ok]
+            fits[good], fails[bad], failed[bad] = size[ok], size[~ok], True
+            low[i[good]], high[i[good]] = a[ok], b[ok]
+        end[i] = at[i] + fits

@@ -72,10 +72,10 @@ def digests(texts: list[str]) -> np.ndarray:
 
 
 def signatures(df: DataFrame, text: str, table: np.ndarray, texts: int) -> DataFrame:
-    """The other columns of df with each text's class, number of distinct shingles and band keys.
+    """The other columns of df with each text's class, number of distinct shingles, of words and band keys.
 
     Texts with the same words in the same order have one class. Texts of fewer than three words, empty and
-    null ones have no keys.
+    null ones have no keys and count 0 words.
     """
     kept = [c for c in df.columns if c != text]
     shared = df.sparkSession.sparkContext.broadcast(table)
@@ -107,10 +107,11 @@ def signatures(df: DataFrame, text: str, table: np.ndarray, texts: int) -> DataF
         rest = pa.Table.from_batches([h[0] for h in held]).combine_chunks()
         columns = [rest.column(c).combine_chunks() if rest.num_rows else pa.array([], rest.schema.field(c).type) for c in kept]
         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-        columns += [pa.array(np.concatenate([h[1] for h in held]).view(np.int64), pa.int64()), pa.array(sizes, pa.int32()), lists]
-        return pa.RecordBatch.from_arrays(columns, names=[*kept, "cls", "n_runs", "keys"])
+        words = np.where(sizes > 0, np.diff(np.concatenate(([0], np.cumsum(times)))[offsets]) + WORDS - 1, 0)
+        columns += [pa.array(np.concatenate([h[1] for h in held]).view(np.int64), pa.int64()), pa.array(sizes, pa.int32()), pa.array(words, pa.int32()), lists]
+        return pa.RecordBatch.from_arrays(columns, names=[*kept, "cls", "n_runs", "n_words", "keys"])
 
-    return df.mapInArrow(sign, f"{types}, cls long, n_runs int, keys array<long>")
+    return df.mapInArrow(sign, f"{types}, cls long, n_runs int, n_words int, keys array<long>")
 
 
 def candidates(classes: DataFrame, directed: bool = False) -> DataFrame:

@@ -37,7 +37,8 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({c.split()[0]: [] for c in _LINKS.split(", ")})
     ours, theirs = plain_all(list(held.text)), plain_all(list(stream.text))
     index = WordIndex(*textcodes.word_hashes(ours))
-    found = index.matches(*textcodes.word_hashes(theirs), query, text)
+    words, offsets = textcodes.word_hashes(theirs)
+    found = index.maximal(words, offsets, query, text, np.ones(len(words), np.int64))
     a, _, ao = textcodes.distinct_runs(theirs, 3)
     b, _, bo = textcodes.distinct_runs(ours, 3)
     both = np.fromiter((len(np.intersect1d(a[ao[q] : ao[q + 1]], b[bo[t] : bo[t + 1]], assume_unique=True)) for q, t in zip(query, text)), np.int64, len(query))
@@ -56,14 +57,14 @@ def overlaps(rows: DataFrame, key: str = "record_id", text: str = "text", split:
     """Cross-split overlaps as (links between classes, members of classes).
 
     links: train_cls, eval_cls, similarity, longest_match, matched_words, spans; exact copies are a link of
-    a class with itself. members: cls, the key, split_name, source_name, n_runs. Rows of no known split, of
+    a class with itself. members: cls, the key, split_name, source_name, n_words. Rows of no known split, of
     null or blank text and of fewer than three words are members of no link. Repeated rows are members each.
     """
     named = rows.select(F.col(key), split_name(split).alias("split_name"), source_name(source).alias("source_name"), F.col(text).alias("text"))
     named = named.filter(F.col("split_name").isin("train", "validation", "test") & (F.trim("text") != ""))
     table, n = frequencies(named, "text")
     signed = staged(signatures(named, "text", table, n).filter("n_runs > 0"))
-    members = signed.select("cls", key, "split_name", "source_name", "n_runs")
+    members = signed.select("cls", key, "split_name", "source_name", "n_words")
     sides = F.col("split_name") == "train"
     classes = signed.groupBy("cls").agg(F.first("keys").alias("keys"), F.max(sides).alias("is_left"), F.max(~sides).alias("is_right"))
     pairs = staged(candidates(classes, directed=True).select(F.col("a").alias("train_cls"), F.col("b").alias("eval_cls")))
@@ -90,10 +91,10 @@ def overlaps(rows: DataFrame, key: str = "record_id", text: str = "text", split:
         .withColumn("partners", F.lit(None).cast("array<long>"))
     )
     near = stream.unionByName(held).groupBy("shard", "part").applyInPandas(_search, _LINKS).filter(F.col("similarity") >= threshold)
-    sizes = members.groupBy("cls").agg(F.max(sides).alias("l"), F.max(~sides).alias("r"), F.max("n_runs").alias("n"))
+    sizes = members.groupBy("cls").agg(F.max(sides).alias("l"), F.max(~sides).alias("r"), F.max("n_words").alias("n"))
     copies = sizes.filter("l and r").select(
         F.col("cls").alias("train_cls"), F.col("cls").alias("eval_cls"), F.lit(1.0).alias("similarity"),
-        (F.col("n") + 2).cast("int").alias("longest_match"), (F.col("n") + 2).cast("int").alias("matched_words"), F.lit(1).alias("spans"),
+        F.col("n").alias("longest_match"), F.col("n").alias("matched_words"), F.lit(1).alias("spans"),
     )
     return near.unionByName(copies), members
 

@@ -98,6 +98,30 @@ def test_backward_search_against_brute_force(texts, query):
         assert (got["covered"][k], got["longest"][k], got["spans"][k]) == (sum(parts), max(parts, default=0), len(parts))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcde"), max_size=14), min_size=1, max_size=4), st.lists(st.sampled_from("abcdef"), max_size=16))
+def test_maximal_matches_against_brute_force(texts, query):
+    index = WordIndex(*textcodes.word_hashes([" ".join(t) for t in texts]))
+    words, offsets = textcodes.word_hashes([" ".join(query)])
+    runs = [tuple(query[i : i + 3]) for i in range(len(query) - 2)]
+    first = np.array([i < len(runs) and runs[i] not in runs[:i] for i in range(len(query))], np.int64)
+    got = index.maximal(words, offsets, np.zeros(len(texts), np.int64), np.arange(len(texts)), first)
+    for k, t in enumerate(texts):
+        held = {tuple(t[i:j]) for i in range(len(t)) for j in range(i + 3, len(t) + 1)}
+        found = [(i, j) for i in range(len(query)) for j in range(i + 3, len(query) + 1) if tuple(query[i:j]) in held]
+        most = [(i, j) for i, j in found if not any(x <= i and j <= y and (x, y) != (i, j) for x, y in found)]
+        spans = sum(not any(x < i < y for x, y in most) for i, _ in most)
+        want = (len({p for i, j in most for p in range(i, j)}), max((j - i for i, j in most), default=0), spans, len({r for r in runs if r in held}))
+        assert tuple(got[n][k] for n in ("covered", "longest", "spans", "inside")) == want
+
+
+def test_maximal_matches_may_overlap():
+    index = WordIndex(*textcodes.word_hashes(["c d e x a b c d"]))
+    words, offsets = textcodes.word_hashes(["a b c d e"])
+    got = index.maximal(words, offsets, np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(5, np.int64))
+    assert {k: int(v[0]) for k, v in got.items()} == {"covered": 5, "longest": 4, "spans": 1, "inside": 3}
+
+
 def test_lookalikes_cover_only_letters():
     from strandline.llm.plain import LOOKALIKES
 

@@ -147,6 +147,14 @@ def test_overlaps_of_copies_and_of_nothing(spark):
     assert overlap.overlap_pairs(df.limit(0)).count() == 0
 
 
+def test_longest_matches_of_copies_and_reordered_texts(spark):
+    again = " ".join(NOUNS[:9] * 4)
+    rows = [(1, again, "train", "a"), (2, again, "test", "a"), (3, " ".join(NOUNS[10:50]), "train", "b"), (4, " ".join(NOUNS[13:50] + NOUNS[10:16]), "test", "b")]
+    df = spark.createDataFrame(rows, "record_id long, text string, split string, source_id string")
+    report = {r["source_id"]: r["longest_match"] for r in overlap.overlap_report(df).collect()}
+    assert report == {"a": 36, "b": 37}
+
+
 # problem 5
 
 
