@@ -2,9 +2,9 @@
 
 Rows are classed by their exact words. Classes that may be similar meet through the bands of consistent
 samples (nearby.py), which routes each training text to the shards that hold partners of it. A shard is a
-full-text index of evaluation texts; its training texts are streamed through backward search, their
-maximal matches with each partner are merged to spans and counts, and the pair's similarity over distinct
-three-word runs is counted exactly.
+full-text index of evaluation texts; its training texts are streamed through backward search. Their maximal
+matches with each partner are merged to spans, and the distinct three-word runs inside the matches, counted
+exactly, give the pair's similarity.
 """
 
 from __future__ import annotations
@@ -38,11 +38,11 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     ours, theirs = plain_all(list(held.text)), plain_all(list(stream.text))
     index = WordIndex(*textcodes.word_hashes(ours))
     words, offsets = textcodes.word_hashes(theirs)
-    found = index.maximal(words, offsets, query, text, np.ones(len(words), np.int64))
-    a, _, ao = textcodes.distinct_runs(theirs, 3)
-    b, _, bo = textcodes.distinct_runs(ours, 3)
-    both = np.fromiter((len(np.intersect1d(a[ao[q] : ao[q + 1]], b[bo[t] : bo[t + 1]], assume_unique=True)) for q, t in zip(query, text)), np.int64, len(query))
-    either = np.diff(ao)[query] + np.diff(bo)[text] - both
+    first = textcodes.first_runs(words, offsets, 3)
+    found = index.maximal(words, offsets, query, text, first)
+    both = found["inside"]
+    runs = np.diff(np.concatenate(([0], np.cumsum(first)))[offsets])
+    either = runs[query] + np.diff(textcodes.distinct_runs(ours, 3)[2])[text] - both
     return pd.DataFrame({
         "train_cls": stream.cls.to_numpy()[query],
         "eval_cls": held.cls.to_numpy()[text],

@@ -102,6 +102,17 @@ def distinct_runs(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.
     return keys & np.uint64((1 << 44) - 1), times, offsets
 
 
+def first_runs(hashes: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+    """For each word 1 if the run of n words from it on is inside its text and the first of its kind there, else 0."""
+    out = np.zeros(len(hashes), np.int64)
+    value, owner = runs(hashes, offsets, n)
+    sizes = np.diff(offsets)
+    place = np.arange(len(hashes)) - np.repeat(offsets[:-1], sizes)
+    begins = np.flatnonzero(place + n <= np.repeat(sizes, sizes))
+    out[begins[np.unique(owner.astype(np.uint64) << np.uint64(44) | value, return_index=True)[1]]] = 1
+    return out
+
+
 def chunks(texts: list[str], most: int = 1_500_000):
     """Slices of the list of about so many characters; a longer text is a slice of its own and stays whole."""
     start = size = 0

@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,17 @@ def test_longest_matches_of_copies_and_reordered_texts(spark):
     assert report == {"a": 36, "b": 37}
 
 
+def test_index_decides_the_overlaps(spark, monkeypatch):
+    from strandline.llm.fulltext import WordIndex
+
+    whole = WordIndex.maximal
+    monkeypatch.setattr(WordIndex, "maximal", lambda *a: {k: v // 2 for k, v in whole(*a).items()})
+    rows = pd.DataFrame([(1, " ".join(NOUNS[:40]), None), (2, " ".join(NOUNS[:39]), [1])], columns=["cls", "text", "partners"])
+    halved = overlap._search(rows).similarity[0]
+    monkeypatch.undo()
+    assert halved < 0.5 and overlap._search(rows).similarity[0] == 37 / 38
+
+
 # problem 5
 
 
