@@ -63,16 +63,18 @@ def overlaps(rows: DataFrame, key: str = "record_id", text: str = "text", split:
     named = rows.select(F.col(key), split_name(split).alias("split_name"), source_name(source).alias("source_name"), F.col(text).alias("text"))
     named = named.filter(F.col("split_name").isin("train", "validation", "test") & (F.trim("text") != ""))
     table, n = frequencies(named, "text")
+    # a class finds a text of its own by the text's hash: keys may be null or recur with other texts
+    named = named.withColumn("text_hash", F.xxhash64("text"))
     signed = staged(signatures(named, "text", table, n).filter("n_runs > 0"))
     members = signed.select("cls", key, "split_name", "source_name", "n_words")
     sides = F.col("split_name") == "train"
     classes = signed.groupBy("cls").agg(F.first("keys").alias("keys"), F.max(sides).alias("is_left"), F.max(~sides).alias("is_right"))
     pairs = staged(candidates(classes, directed=True).select(F.col("a").alias("train_cls"), F.col("b").alias("eval_cls")))
 
-    # one row of each class that takes part brings its text
+    # one text of each class that takes part
     wanted = pairs.select(F.col("train_cls").alias("cls")).union(pairs.select(F.col("eval_cls").alias("cls"))).distinct()
-    speakers = staged(members.join(wanted, "cls").groupBy("cls").agg(F.min(key).alias(key)))
-    texts = staged(named.select(key, "text").join(checked(speakers), key).select("cls", "text").dropDuplicates(["cls"]))
+    speakers = staged(signed.select("cls", "text_hash").join(wanted, "cls").groupBy("cls").agg(F.min("text_hash").alias("text_hash")))
+    texts = staged(named.select("text_hash", "text").join(checked(speakers), "text_hash").select("cls", "text").dropDuplicates(["cls"]))
 
     shards = max(1, pairs.select("eval_cls").distinct().count() // SHARD)
     routed = pairs.withColumn("shard", F.pmod(F.xxhash64("eval_cls"), F.lit(shards)))
@@ -100,8 +102,12 @@ def overlaps(rows: DataFrame, key: str = "record_id", text: str = "text", split:
 
 
 def overlap_pairs(rows: DataFrame, key: str = "record_id", **options) -> DataFrame:
-    """All pairs (key_a, key_b) of a training row and an evaluation row that overlap, the smaller key first."""
+    """All pairs (key_a, key_b) of a training row and an evaluation row that overlap, the smaller key first.
+
+    Rows of a null key are in no pair; the report counts them.
+    """
     links, members = overlaps(rows, key, **options)
+    members = members.filter(F.col(key).isNotNull())
     train = members.filter("split_name = 'train'").select(F.col("cls").alias("train_cls"), F.col(key).alias("k1"))
     held = members.filter("split_name <> 'train'").select(F.col("cls").alias("eval_cls"), F.col(key).alias("k2"))
     both = links.select("train_cls", "eval_cls").join(train, "train_cls").join(held, "eval_cls")

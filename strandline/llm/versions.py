@@ -49,13 +49,15 @@ def versions(rows: DataFrame, key: str, text: str, threshold: float = 0.6, weigh
     """
     named = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text <> ''")
     table, n = frequencies(named, "text")
+    # a class finds a text of its own by the text's hash: a key may recur with other texts
+    named = named.withColumn("text_hash", F.xxhash64("text"))
     signed = staged(signatures(named, "text", table, n).filter("n_runs > 0"))
     members = staged(signed.groupBy("key").agg(F.min("cls").alias("cls")))
     classes = signed.groupBy("cls").agg(F.first("keys").alias("keys")).withColumns({"is_left": F.lit(True), "is_right": F.lit(True)})
     pairs = staged(candidates(classes))
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    speakers = staged(members.join(wanted, "cls").groupBy("cls").agg(F.min("key").alias("key")))
-    texts = staged(named.join(checked(speakers), "key").dropDuplicates(["cls"]).select("cls", "text"))
+    speakers = staged(signed.select("cls", "text_hash").join(wanted, "cls").groupBy("cls").agg(F.min("text_hash").alias("text_hash")))
+    texts = staged(named.select("text_hash", "text").join(checked(speakers), "text_hash").dropDuplicates(["cls"]).select("cls", "text"))
     with_texts = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     links = _verify(with_texts, table, n).filter((F.col("weighted") >= weighted) & (F.col("similarity") >= threshold))
     return staged(links), members

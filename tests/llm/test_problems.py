@@ -167,6 +167,14 @@ def test_index_decides_the_overlaps(spark, monkeypatch):
     assert halved < 0.5 and overlap._search(rows).similarity[0] == 37 / 38
 
 
+def test_overlaps_of_null_and_recurring_keys(spark):
+    a, b = NOUNS[:40], NOUNS[20:60]
+    rows = [(None, " ".join(a), "train"), (1, " ".join(a[:38]), "test"), (2, " ".join(b), "train"), (2, " ".join(a[1:]), "train"), (3, " ".join(b[:38]), "dev")]
+    df = spark.createDataFrame([(k, t, s, "s") for k, t, s in rows], "record_id long, text string, split string, source_id string")
+    assert sorted(map(tuple, overlap.overlap_pairs(df).collect())) == [(1, 2), (2, 3)]
+    assert {r["split"]: (r["n_rows"], r["n_pairs"]) for r in overlap.overlap_report(df).collect()} == {"test": (1, 2), "validation": (1, 1)}
+
+
 # problem 5
 
 
