@@ -41,11 +41,12 @@ def plain_fields(fields: DataFrame, scores: dict[tuple[str, str], float]) -> Dat
     def work(batches):
         scores = sent.value
         for batch in batches:
+            known: dict[str, str] = {}
             lists = batch.column(2)
             flat = [t or "" for t in lists.flatten().to_pylist()]
             dirty, fixed = {}, suspicious(flat) if flat else []
             for i, bad in enumerate(fixed):
-                if bad and (p := plain(flat[i], scores)) != flat[i]:
+                if bad and (p := plain(flat[i], scores, known)) != flat[i]:
                     dirty[i] = p
             out, changed, at = [], [], 0
             for values in lists.to_pylist():

@@ -98,22 +98,33 @@ def suspicious(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _compatible(text: str) -> str:
-    """Deletes what is ignorable, makes blanks ordinary, expands compatibility forms and composes accents.
-    Marks in another order than the canonical one are left as they are."""
-    out = []
-    for c in text:
-        if c in PLAIN or c < "\x7f":
-            out.append(c)
+class _Ordinary(dict):
+    """What each character becomes before accents are composed: nothing if it is ignorable, a blank for
+    any blank, its compatibility form otherwise; worked out once for each character that is met."""
+
+    def __missing__(self, o: int) -> str:
+        c = chr(o)
+        if c in PLAIN or o < 0x7F:
+            out = c
         elif _ignorable(c) or unicodedata.category(c) == "Cf":
-            continue
+            out = ""
         elif unicodedata.category(c) in ("Zs", "Zl", "Zp"):
-            out.append(" ")
+            out = " "
         else:
             # isolated forms of vowel marks have a blank before them, which is no part of the text
             n = unicodedata.normalize("NFKC", c)
-            out.append(n.lstrip(" ") if len(n) > 1 and n[0] == " " else n)
-    return _CLUSTER.sub(_composed, "".join(out))
+            out = n.lstrip(" ") if len(n) > 1 and n[0] == " " else n
+        self[o] = out
+        return out
+
+
+_ORDINARY = _Ordinary()
+
+
+def _compatible(text: str) -> str:
+    """Deletes what is ignorable, makes blanks ordinary, expands compatibility forms and composes accents.
+    Marks in another order than the canonical one are left as they are."""
+    return _CLUSTER.sub(_composed, text.translate(_ORDINARY))
 
 
 _CLUSTER = re.compile(r"[^\W\d_][̀-ًͯ-ٰٟ]+")
@@ -168,16 +179,26 @@ def respell(word: str, bigrams: dict[tuple[str, str], float] | None = None) -> s
     return min(states.values())[1]
 
 
-def plain(text: str, bigrams: dict[tuple[str, str], float] | None = None) -> str:
-    """The plain form of one text."""
-    return _WORD.sub(lambda m: m[0] if m[0].isascii() else respell(m[0], bigrams), _compatible(text))
+def plain(text: str, bigrams: dict[tuple[str, str], float] | None = None, known: dict[str, str] | None = None) -> str:
+    """The plain form of one text. known keeps the words that were respelled, for the texts after it."""
+    known = {} if known is None else known
+
+    def word(m: re.Match) -> str:
+        w = m[0]
+        if w.isascii():
+            return w
+        if w not in known:
+            known[w] = respell(w, bigrams)
+        return known[w]
+
+    return _WORD.sub(word, _compatible(text))
 
 
 def plain_all(texts: list[str], bigrams: dict[tuple[str, str], float] | None = None) -> list[str]:
     """The plain forms; texts that a look at their code points shows to be plain are not touched."""
-    out = list(texts)
+    out, known = list(texts), {}
     for i in np.flatnonzero(suspicious(texts)):
-        out[i] = plain(texts[i], bigrams)
+        out[i] = plain(texts[i], bigrams, known)
     return out
 
 
