@@ -1,9 +1,10 @@
-"""Candidate pairs of similar texts: consistent weighted sampling over TF-IDF shingles, banded.
+"""Candidate pairs of similar texts: consistent weighted sampling over shingles, banded.
 
 The weights of some bands are TF-IDF, of the others all equal. Boilerplate weighs little in the first, so it
 brings few strangers together; the second find the versions of a story that a large part of all texts tells,
 whose own shingles TF-IDF takes for boilerplate. There the first add next to nothing, so the second are as many
-as the threshold needs by themselves: a pair of plain similarity 0.6 is missed with a chance of 1.5 %.
+as the threshold needs by themselves: a pair of plain similarity 0.6 is missed with a chance of 1.5 %. A pair can
+be missed only by chance of the bands; prefixes instead of bands miss none, at the cost of more candidates.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from strandline.plans.staging import staged
 WORDS, ROWS, AGREE = 3, 3, 2
 #: Bands of TF-IDF weights and of equal weights.
 WEIGHTED, EQUAL = 12, 26
-BANDS = WEIGHTED + EQUAL
 #: A bucket with more classes than this is divided by a second band before pairs are formed.
 CROWD = 64
 #: Shingles that a task holds at once.
@@ -57,12 +57,11 @@ def weights(shingles: np.ndarray, times: np.ndarray, table: np.ndarray, texts: i
     return times * sketch.idf(table[sketch.cell(shingles)].astype(np.float64), texts)
 
 
-def digests(texts: list[str]) -> np.ndarray:
+def digests(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One number for each sequence of words: equal for texts with the same words in the same order."""
-    hashes, offsets = textcodes.word_hashes(texts)
     sizes = np.diff(offsets)
     place = np.arange(len(hashes)) - np.repeat(offsets[:-1], sizes)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(sizes), np.uint64)
     full = sizes > 0
     if full.any():
         with np.errstate(over="ignore"):
@@ -71,11 +70,31 @@ def digests(texts: list[str]) -> np.ndarray:
     return out
 
 
-def signatures(df: DataFrame, text: str, table: np.ndarray, texts: int) -> DataFrame:
-    """The other columns of df with each text's class, number of distinct shingles, of words and band keys.
+def prefix_keys(found: np.ndarray, sizes: np.ndarray, table: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of each text that any text of at least this similarity shares two of, and their offsets.
+
+    Two sets of similarity t have at least t |x| shingles in common, so that of the |x| - t |x| + 2 rarest of
+    either, in one order of all shingles, two are in both. A text of one shingle has it twice, as two keys.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    begin = np.cumsum(sizes) - sizes
+    order = np.lexsort((found, table[sketch.cell(found)], owner))
+    place = np.arange(len(found)) - np.repeat(begin, sizes)
+    most = np.minimum(sizes, sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 2)
+    keep = place < most[owner]
+    keys, of = textcodes.mix(found[order[keep]]), owner[keep]
+    lone = np.flatnonzero(sizes == 1)
+    keys, of = np.concatenate((keys, textcodes.mix(found[begin[lone]] ^ np.uint64(1 << 50)))), np.concatenate((of, lone))
+    by = np.argsort(of, kind="stable")
+    return keys[by], np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(sizes)))))
+
+
+def signatures(df: DataFrame, text: str, table: np.ndarray | None = None, texts: int = 0, exact: float | None = None) -> DataFrame:
+    """The other columns of df with each text's class, number of distinct shingles, of words and keys.
 
     Texts with the same words in the same order have one class. Texts of fewer than three words, empty and
-    null ones have no keys and count 0 words.
+    null ones have no keys and count 0 words. Without a table of document frequencies there are only bands of
+    equal weights. exact: keys are prefixes for that similarity instead of bands (a table is needed).
     """
     kept = [c for c in df.columns if c != text]
     shared = df.sparkSession.sparkContext.broadcast(table)
@@ -88,8 +107,8 @@ def signatures(df: DataFrame, text: str, table: np.ndarray, texts: int) -> DataF
             rest = batch.select(kept)
             values = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             for a, b in textcodes.chunks(values):
-                plain = plain_all(values[a:b])
-                held.append((rest.slice(a, b - a), digests(plain), *textcodes.distinct_runs(plain, WORDS)))
+                hashes, offsets = textcodes.word_hashes(plain_all(values[a:b]))
+                held.append((rest.slice(a, b - a), digests(hashes, offsets), *textcodes.counted_runs(hashes, offsets, WORDS), np.diff(offsets)))
                 if sum(len(h[2]) for h in held) > _HELD:
                     yield flush(held, table)
                     held = []
@@ -97,17 +116,23 @@ def signatures(df: DataFrame, text: str, table: np.ndarray, texts: int) -> DataF
             yield flush(held, table)
 
     def flush(held, table):
-        found, times = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+        found = np.concatenate([h[2] for h in held])
         sizes = np.concatenate([np.diff(h[4]) for h in held])
         offsets = np.concatenate(([0], np.cumsum(sizes)))
-        weighted = sketch.samples(found, weights(found, times, table, texts), offsets, ROWS * WEIGHTED)
-        keys = sketch.band_keys(np.hstack((weighted, sketch.equal_samples(found, offsets, ROWS * EQUAL))), BANDS, ROWS)
-        keys = keys[sizes > 0]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0)))), pa.int32()), pa.array(keys.reshape(-1).view(np.int64), pa.int64()))
+        if exact is not None:
+            keys, ends = prefix_keys(found, sizes, table, exact)
+        else:
+            drawn, bands = sketch.equal_samples(found, offsets, ROWS * EQUAL), EQUAL
+            if table is not None:
+                times = np.concatenate([h[3] for h in held])
+                drawn, bands = np.hstack((sketch.samples(found, weights(found, times, table, texts), offsets, ROWS * WEIGHTED), drawn)), EQUAL + WEIGHTED
+            keys = sketch.band_keys(drawn, bands, ROWS)[sizes > 0].reshape(-1)
+            ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, bands, 0))))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64), pa.int64()))
         rest = pa.Table.from_batches([h[0] for h in held]).combine_chunks()
         columns = [rest.column(c).combine_chunks() if rest.num_rows else pa.array([], rest.schema.field(c).type) for c in kept]
         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-        words = np.where(sizes > 0, np.diff(np.concatenate(([0], np.cumsum(times)))[offsets]) + WORDS - 1, 0)
+        words = np.where(sizes > 0, np.concatenate([h[5] for h in held]), 0)
         columns += [pa.array(np.concatenate([h[1] for h in held]).view(np.int64), pa.int64()), pa.array(sizes, pa.int32()), pa.array(words, pa.int32()), lists]
         return pa.RecordBatch.from_arrays(columns, names=[*kept, "cls", "n_runs", "n_words", "keys"])
 

@@ -56,7 +56,10 @@ def samples(shingles: np.ndarray, weights: np.ndarray, offsets: np.ndarray, k: i
         least = np.empty((len(s), len(js)), np.float32)
         for j in js:
             x = mix(s ^ np.uint64((j + 1) * 0x5851F42D4C957F2D & (2**64 - 1)))
-            y = mix(x)
+            y = x * np.uint64(0xD6E8FEB86659FD93)
+            y ^= y >> np.uint64(32)
+            y *= np.uint64(0xD6E8FEB86659FD93)
+            y ^= y >> np.uint64(32)
             r = -np.log(_unit(x >> np.uint64(32)) * _unit(x & _HALF))
             c = -np.log(_unit(y >> np.uint64(32)) * _unit(y & _HALF))
             beta = _unit((x ^ y * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32))
@@ -78,11 +81,12 @@ def equal_samples(shingles: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarr
     full = np.flatnonzero(np.diff(offsets) > 0)
     if not len(full):
         return out
-    s, index = np.unique(shingles, return_inverse=True)
+    # shingles are hashes, so that an odd multiple's upper half is a hash again
     begin = offsets[:-1][full]
-    for j in range(k):
-        hashes = (mix(s ^ np.uint64((j + 1) * 0x2545F4914F6CDD1D & (2**64 - 1))) >> np.uint64(32)).astype(np.uint32)
-        out[full, j] = np.minimum.reduceat(hashes[index], begin)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            odd = mix(np.uint64([j + 0x2545F491]))[0] | np.uint64(1)
+            out[full, j] = np.minimum.reduceat((shingles * odd >> np.uint64(32)).astype(np.uint32), begin)
     return out
 
 

@@ -91,14 +91,19 @@ def runs(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 def distinct_runs(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct runs of each text, how often each occurs, and the offsets of each text's runs."""
-    value, owner = runs(*word_hashes(texts), n)
+    return counted_runs(*word_hashes(texts), n)
+
+
+def counted_runs(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of texts given as word hashes."""
+    value, owner = runs(hashes, offsets, n)
     keys = np.sort(owner.astype(np.uint64) << np.uint64(44) | value)
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(new)
     times = np.diff(np.append(at, len(keys)))
     keys = keys[at]
-    offsets = np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(44))
+    offsets = np.searchsorted(keys, np.arange(len(offsets), dtype=np.uint64) << np.uint64(44))
     return keys & np.uint64((1 << 44) - 1), times, offsets
 
 

@@ -13,6 +13,11 @@ from strandline.llm.plain import plain_all
 from strandline.operators.graph import connected_components
 from strandline.plans.staging import checked, staged
 
+#: Least weighted similarity of a link. It must stay low: where a third of all texts tell one story, TF-IDF
+#: gives its shingles a weight of ln 3 and each edit one of ln N, so that versions of plain similarity 0.6 have a weighted one of 0.1 to 0.2.
+WEIGHTED_LEAST = 0.1
+
+
 def _verify(pairs: DataFrame, table: np.ndarray, texts: int) -> DataFrame:
     """Weighted and plain Jaccard similarity of each pair's two texts."""
     shared = pairs.sparkSession.sparkContext.broadcast(table)
@@ -37,13 +42,12 @@ def _verify(pairs: DataFrame, table: np.ndarray, texts: int) -> DataFrame:
     return pairs.mapInPandas(check, "a long, b long, weighted double, similarity double")
 
 
-def versions(rows: DataFrame, key: str, text: str, threshold: float = 0.6, weighted: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def versions(rows: DataFrame, key: str, text: str, threshold: float = 0.6, weighted: float = WEIGHTED_LEAST, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Records whose texts are similar, as (links between classes, members of classes).
 
     links: a, b, weighted, similarity, with a <> b: candidates of at least the weighted (TF-IDF) Jaccard
-    similarity asked for and at least the plain one. No weighted one is asked for by default: the plain one
-    decides, also where a large part of all texts are versions of one and TF-IDF weighs their edits most.
-    members: cls and key, one row for each key; records of
+    similarity asked for, and of these the ones of at least the plain one. exact: candidates come from
+    prefixes, which miss no pair of the threshold, instead of bands. members: cls and key, one row for each key; records of
     equal words share a class. A key that recurs counts once, with its least class if its texts differ.
     Null keys, null and empty texts and texts of fewer than three words are in no link and no class.
     """
@@ -51,7 +55,7 @@ def versions(rows: DataFrame, key: str, text: str, threshold: float = 0.6, weigh
     table, n = frequencies(named, "text")
     # a class finds a text of its own by the text's hash: a key may recur with other texts
     named = named.withColumn("text_hash", F.xxhash64("text"))
-    signed = staged(signatures(named, "text", table, n).filter("n_runs > 0"))
+    signed = staged(signatures(named, "text", table, n, threshold if exact else None).filter("n_runs > 0"))
     members = staged(signed.groupBy("key").agg(F.min("cls").alias("cls")))
     classes = signed.groupBy("cls").agg(F.first("keys").alias("keys")).withColumns({"is_left": F.lit(True), "is_right": F.lit(True)})
     pairs = staged(candidates(classes))
@@ -63,9 +67,9 @@ def versions(rows: DataFrame, key: str, text: str, threshold: float = 0.6, weigh
     return staged(links), members
 
 
-def version_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.6) -> DataFrame:
+def version_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.6, **options) -> DataFrame:
     """All pairs (key_a, key_b) of different keys that are versions, smaller key first; equal texts too."""
-    links, members = versions(rows, key, text, threshold)
+    links, members = versions(rows, key, text, threshold, **options)
     a, b = members.select(F.col("cls").alias("a"), F.col("key").alias("ka")), members.select(F.col("cls").alias("b"), F.col("key").alias("kb"))
     near = links.select("a", "b").join(a, "a").join(b, "b").select("ka", "kb")
     # keys of one class: only classes of several keys are joined
@@ -75,10 +79,10 @@ def version_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.6)
     return near.union(same).select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b")).distinct()
 
 
-def version_groups(rows: DataFrame, key: str, text: str, threshold: float = 0.6) -> DataFrame:
+def version_groups(rows: DataFrame, key: str, text: str, threshold: float = 0.6, **options) -> DataFrame:
     """One row for each key: its class, its group (connected through links), the group's size, the number of
     classes its own is linked to and the copies of its class. A key without versions is a group of one."""
-    links, members = versions(rows, key, text, threshold)
+    links, members = versions(rows, key, text, threshold, **options)
     groups = connected_components(links)
     ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     copies = members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
