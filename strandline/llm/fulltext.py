@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
+from strandline.llm.textcodes import first_runs
+
+#: Occurrences that are looked up at once.
+_HELD = 1_000_000
+
 
 def suffix_array(x: np.ndarray) -> np.ndarray:
     """Suffixes in order, by doubling the length that is compared."""
@@ -23,9 +28,53 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+class Planes:
+    """A sequence of small numbers as bit planes, 64 places to a word, with the ones before each word sampled.
+
+    Each plane holds one bit of every number, the numbers being sorted, stably, by the bits before it: ranks,
+    ranges and numbers are read plane by plane. It takes 1.5 bits for each bit of the largest number.
+    """
+
+    def __init__(self, x: np.ndarray, top: int):
+        self.n, self.bits = len(x), [max(1, int(top).bit_length()) - 1 - k for k in range(max(1, int(top).bit_length()))]
+        self.planes, self.sampled, self.zeros = [], [], []
+        x = x.astype(np.uint32)
+        for k in self.bits:
+            bit = (x >> np.uint32(k) & np.uint32(1)).astype(bool)
+            packed = np.packbits(bit, bitorder="little")
+            words = np.concatenate((packed, np.zeros(-len(packed) % 8 + 8, np.uint8))).view("<u8")
+            self.planes.append(words)
+            self.sampled.append(np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.uint32)))[:-1].astype(np.uint32))
+            self.zeros.append(self.n - int(bit.sum()))
+            x = np.concatenate((x[~bit], x[bit]))
+
+    def ones(self, k: int, at: np.ndarray) -> np.ndarray:
+        """The ones of a plane before each place."""
+        word, inside = at >> 6, (at & 63).astype(np.uint64)
+        below = self.planes[k][word] & ((np.uint64(1) << inside) - np.uint64(1))
+        return self.sampled[k][word].astype(np.int64) + np.bitwise_count(below)
+
+    def follow(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where each place comes to lie when its prefix is sorted down to the symbol."""
+        for k, bit in enumerate(self.bits):
+            ones = self.ones(k, at)
+            at = np.where(symbol >> bit & 1, self.zeros[k] + ones, at - ones)
+        return at
+
+    def values(self, at: np.ndarray) -> np.ndarray:
+        """The numbers at the places."""
+        out = np.zeros(len(at), np.int64)
+        for k, bit in enumerate(self.bits):
+            on = (self.planes[k][at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+            ones = self.ones(k, at)
+            out |= on << bit
+            at = np.where(on, self.zeros[k] + ones, at - ones)
+        return out
+
+
 class WordIndex:
-    """FM-index of texts given as word hashes. The rank structure is one sorted list of occurrences for
-    each word of the transform; positions of one text are found again through its own suffix ranks."""
+    """FM-index of texts given as word hashes. The Burrows-Wheeler transform and the text of each suffix are kept
+    as bit planes with sampled ranks; what is not kept are the texts, the suffix array and any list of occurrences."""
 
     def __init__(self, hashes: np.ndarray, offsets: np.ndarray):
         self.words, ids = np.unique(hashes, return_inverse=True)
@@ -34,16 +83,18 @@ class WordIndex:
         # symbol 0 ends each text
         x = np.zeros(len(hashes) + len(sizes), np.int64)
         x[np.arange(len(hashes)) + owner] = ids + 1
-        self.n = len(x)
+        self.n, self.texts = len(x), len(sizes)
         order = suffix_array(x)
-        transform = x[order - 1]
-        by_symbol = np.argsort(transform, kind="stable")
-        self.stride = self.n + 1
-        self.occurrences = transform[by_symbol] * self.stride + by_symbol
-        place = np.empty(self.n, np.int64)
-        place[order] = np.arange(self.n)
+        self.before = Planes(x[order - 1], len(self.words))
+        # where each symbol's suffixes begin, and where its places begin in the sorted planes
+        self.begins = np.concatenate(([0], np.cumsum(np.bincount(x, minlength=len(self.words) + 1))))
+        self.lowest = self.before.follow(np.arange(len(self.words) + 1), np.zeros(len(self.words) + 1, np.int64))
         text_of = np.repeat(np.arange(len(sizes)), sizes + 1)
-        self.by_text = np.sort(text_of * self.stride + place)
+        self.owners = Planes(text_of[order], max(1, len(sizes) - 1))
+        # which suffixes begin with a run of three words that is the first of its kind in its text
+        fresh = np.zeros(self.n, bool)
+        fresh[np.arange(len(hashes)) + owner] = first_runs(hashes, offsets, 3) > 0
+        self.fresh = np.packbits(fresh[order], bitorder="little")
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """The index's number of each word; -1 for a word it does not hold."""
@@ -54,51 +105,31 @@ class WordIndex:
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the matches with one more word before them."""
-        base = symbol * self.stride
-        return np.searchsorted(self.occurrences, base + low), np.searchsorted(self.occurrences, base + high)
+        shift = self.begins[symbol] - self.lowest[symbol]
+        return self.before.follow(symbol, low) + shift, self.before.follow(symbol, high) + shift
 
     def within(self, text: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """How many suffixes of an interval are of the given text."""
-        base = text * self.stride
-        return np.searchsorted(self.by_text, base + high) - np.searchsorted(self.by_text, base + low)
+        return self.owners.follow(text, high) - self.owners.follow(text, low)
 
-    def matches(self, words: np.ndarray, offsets: np.ndarray, query: np.ndarray, text: np.ndarray) -> dict[str, np.ndarray]:
-        """Each query read backwards and cut, without overlaps, into matches with its text; all pairs move in step.
+    def shared_runs(self, words: np.ndarray, offsets: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """A table of queries by texts of the index: how many different three-word runs they share.
 
-        Returns for each pair the words in matches of three or more words, the longest match, the number of
-        such matches and the number of three-word runs inside them.
+        Every run (where first is set) is searched backwards; each text in its interval counts it once.
         """
-        symbol = self.symbols(words)
-        m = len(query)
-        at, stop = offsets[1:][query] - 1, offsets[:-1][query]
-        low, high, size = np.zeros(m, np.int64), np.full(m, self.n, np.int64), np.zeros(m, np.int64)
-        covered, longest, spans, inside = (np.zeros(m, np.int64) for _ in range(4))
-
-        def close(i: np.ndarray) -> None:
-            done = i[size[i] >= 3]
-            covered[done] += size[done]
-            inside[done] += size[done] - 2
-            spans[done] += 1
-            longest[done] = np.maximum(longest[done], size[done])
-
-        live = np.flatnonzero(at >= stop)
-        while len(live):
-            c = symbol[at[live]]
-            a, b = self.extend(np.maximum(c, 0), low[live], high[live])
-            ok = (c > 0) & (a < b)
-            ok[ok] = self.within(text[live[ok]], a[ok], b[ok]) > 0
-            go, end = live[ok], live[~ok]
-            low[go], high[go] = a[ok], b[ok]
-            size[go] += 1
-            at[go] -= 1
-            close(end)
-            at[end[size[end] == 0]] -= 1
-            low[end], high[end], size[end] = 0, self.n, 0
-            over = at[live] < stop[live]
-            close(live[over])
-            size[live[over]] = 0
-            live = live[~over]
-        return {"covered": covered, "longest": longest, "spans": spans, "inside": inside}
+        out = np.zeros((len(offsets) - 1, self.texts), np.int32)
+        at = np.flatnonzero(first)
+        query = np.searchsorted(offsets, at, side="right") - 1
+        ok, low, high = self.occurs(self.symbols(words), at, np.full(len(at), 3), None)
+        query, low, size = query[ok], low[ok], (high - low)[ok]
+        cuts = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()) + _HELD, _HELD), side="left")
+        for a, b in zip(cuts, np.append(cuts[1:], len(size))):
+            if a < b:
+                n = size[a:b]
+                place = np.repeat(low[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                once = (self.fresh[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+                np.add.at(out, (np.repeat(query[a:b], n)[once], self.owners.values(place[once])), 1)
+        return out
 
     def occurs(self, symbol: np.ndarray, at: np.ndarray, size: np.ndarray, text: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether the words from at on, so many, stand in the text (any text for None), and their intervals."""

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strandline.llm import sketch, textcodes
-from strandline.llm.fulltext import WordIndex, suffix_array
+from strandline.llm.fulltext import Planes, WordIndex, suffix_array
 from strandline.llm.plain import plain, plain_all, suspicious
 
 WORDS = re.compile(r"[^\W_]+")
@@ -80,22 +80,24 @@ def test_suffix_array(x):
     assert suffix_array(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=150), st.integers(0, 9))
+def test_planes_rank_and_read(x, symbol):
+    planes = Planes(np.array(x, np.int64), 9)
+    at = np.arange(len(x) + 1)
+    got = planes.follow(np.full(len(at), symbol), at) - planes.follow(np.array([symbol]), np.array([0]))
+    assert got.tolist() == [x[:i].count(symbol) for i in at]
+    assert planes.values(at[:-1]).tolist() == x
+
+
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("abcd"), max_size=12), min_size=1, max_size=4), st.lists(st.sampled_from("abcde"), max_size=14))
-def test_backward_search_against_brute_force(texts, query):
+@given(st.lists(st.lists(st.sampled_from("abcd"), max_size=12), min_size=1, max_size=4), st.lists(st.lists(st.sampled_from("abcde"), max_size=14), min_size=1, max_size=3))
+def test_shared_runs_against_brute_force(texts, queries):
+    runs = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
     index = WordIndex(*textcodes.word_hashes([" ".join(t) for t in texts]))
-    words, offsets = textcodes.word_hashes([" ".join(query)])
-    got = index.matches(words, offsets, np.zeros(len(texts), np.int64), np.arange(len(texts)))
-    for k, t in enumerate(texts):
-        parts, end = [], len(query)
-        while end > 0:
-            size = 0
-            while size < end and any(t[i : i + size + 1] == query[end - size - 1 : end] for i in range(len(t) - size)):
-                size += 1
-            if size >= 3:
-                parts.append(size)
-            end -= max(size, 1)
-        assert (got["covered"][k], got["longest"][k], got["spans"][k]) == (sum(parts), max(parts, default=0), len(parts))
+    words, offsets = textcodes.word_hashes([" ".join(q) for q in queries])
+    got = index.shared_runs(words, offsets, textcodes.first_runs(words, offsets, 3))
+    assert got.tolist() == [[len(runs(q) & runs(t)) for t in texts] for q in queries]
 
 
 @settings(max_examples=60, deadline=None)
