@@ -93,45 +93,52 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_assignment, p1_balance, p2_found, p2_plain, p3_tokens, p3_budget, p4_found, p4_report, p5_found, p5_groups, p6_contents, p6_fill, p7_chosen, p7_shares, p7_shards, p8_found, p8_rates)}
 
-_JUDGED = r"""
+_WORDS = r"""list_transform(regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}][\p{{L}}\p{{M}}\p{{N}}]*|[0-9\x{{0660}}-\x{{0669}}]+(?:[.,][0-9\x{{0660}}-\x{{0669}}]+)*|\p{{N}}[\p{{L}}\p{{M}}\p{{N}}]*|:|[.!?؟。]+|[\r\n]+'),
+    lambda t: CASE WHEN regexp_matches(t, '^[0-9\x{{0660}}-\x{{0669}}]') THEN '0' WHEN regexp_matches(t, '^[\r\n]') THEN '¶' WHEN regexp_matches(t, '^[.!?؟。]') THEN '.' ELSE t END)"""
+_REMAINS = r"(\s*\[(…|\.{3}|\+\d+ chars)\]|\s*…|\.{3}|&[#A-Za-z0-9]{0,7}|<[^<>]{0,200}|\\u?[0-9A-Fa-f]{0,4}|\x{FFFD}+)+$"
+# two words before the last, ¶ where a sentence or line begins
+_BEFORE = "CASE WHEN {y} IN ('¶', '.') OR {x} IN ('¶', '.') THEN '¶' ELSE {x} END AS x, CASE WHEN {y} = '.' THEN '¶' ELSE {y} END AS y"
+_JUDGED = rf"""
 WITH kept AS (
-  SELECT doc_id, rtrim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(160) || chr(8203) || chr(65279)) AS text FROM documents WHERE text IS NOT NULL AND trim(text) <> ''
-), split_up AS (SELECT doc_id, text, regexp_split_to_array(text, '[\r\n]+\s*') AS lines FROM kept),
-each_line AS (SELECT doc_id, len(lines) AS n, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM split_up),
+  SELECT * FROM (SELECT doc_id, source, rtrim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(160) || chr(8203) || chr(65279)) AS text FROM documents) WHERE trim(text) <> ''
+), split_up AS (
+  SELECT *, regexp_split_to_array(text, '[\r\n]+\s*') AS lines, CASE WHEN regexp_matches(text, '[\r\n]') THEN '' ELSE lower(regexp_extract(text, '^\s*(\p{{L}}+):\s', 1)) END AS kind FROM kept
+), each_line AS (SELECT len(lines) AS n, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM split_up),
 firsts AS (
-  SELECT lower(regexp_extract(line, '^\s*([—–-]?\s*[\p{L}\p{M}]+)', 1)) AS word, count(*) FILTER (pos = n) / count(*) AS last_share
-  FROM each_line WHERE n > 1 GROUP BY 1
+  SELECT lower(split_part(ltrim(line), ' ', 1)) AS word FROM each_line WHERE n > 1 GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER (pos = n) >= 0.8 * count(*)
 ), tails AS (
-  SELECT doc_id, len(lines) AS n, rtrim(lines[-1]) AS last, rtrim(lines[-2]) AS prior, lower(regexp_extract(lines[-1], '^\s*([—–-]?\s*[\p{L}\p{M}]+)', 1)) AS word FROM split_up
+  SELECT doc_id, source, kind, len(lines) AS n, rtrim(lines[-1]) AS last, rtrim(lines[-2]) AS prior, lower(split_part(ltrim(lines[-1]), ' ', 1)) AS word FROM split_up
 ), signs AS (
   SELECT t.*, n > 1 AND NOT regexp_matches(last, '[.!?؟。]+["”’»\x27)\]]*$') AND (
-    NOT regexp_matches(last, '\p{L}') OR regexp_matches(last, '^\s*[(\[].*[)\]]$') OR regexp_matches(last, 'https?://\S+$')
-    OR (coalesce(last_share, 0) >= 0.8 AND regexp_matches(last, '\S\s+\S'))) AS signed
-  FROM tails t LEFT JOIN firsts USING (word)
-), bodies AS (SELECT doc_id, n - signed::INT AS n_lines, CASE WHEN signed THEN prior ELSE last END AS whole FROM signs),
-cut_off AS (
-  SELECT *, regexp_matches(whole, '(\s*\[(…|\.{3}|\+\d+ chars)\]|…|\.{3}|&[#A-Za-z0-9]{0,7}|<[^<>]{0,200}|\\u?[0-9A-Fa-f]{0,4}|\x{FFFD}+)$') AS remains,
-    rtrim(regexp_replace(whole, '(\s*\[(…|\.{3}|\+\d+ chars)\]|…|\.{3}|&[#A-Za-z0-9]{0,7}|<[^<>]{0,200}|\\u?[0-9A-Fa-f]{0,4}|\x{FFFD}+)$', '')) AS body
-  FROM bodies
-), read AS (
-  SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[0-9\x{0660}-\x{0669}]+(?:[.,][0-9\x{0660}-\x{0669}]+)*|[\p{L}\p{M}\p{N}]+|[.!?؟。…]+|[\r\n]+'),
-    lambda t: CASE WHEN regexp_matches(t, '^[0-9\x{0660}-\x{0669}]') THEN '0' WHEN regexp_matches(t, '^[\r\n.!?؟。…]') THEN '¶' ELSE t END) AS w FROM kept
-), places AS (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM read WHERE len(w) >= 3),
-grams AS (SELECT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram, coalesce(w[i + 3], '¶') = '¶' AS last FROM places WHERE w[i] <> '¶' AND w[i + 1] <> '¶' AND w[i + 2] <> '¶'),
-counts AS (SELECT gram, count(*) FILTER (NOT last) AS inside, count(*) FILTER (last) AS terminal FROM grams GROUP BY 1),
+    NOT regexp_matches(last, '\p{{L}}') OR regexp_matches(last, '^\s*[(\[].*[)\]]$') OR regexp_matches(last, 'https?://\S+$')
+    OR (f.word IS NOT NULL AND regexp_matches(last, '\S\s+\S'))) AS signed, regexp_matches(last, '[\p{{L}}\p{{N}}]') AS worded
+  FROM tails t LEFT JOIN firsts f ON f.word = t.word
+), bodies AS (SELECT *, CASE WHEN signed THEN prior ELSE last END AS whole FROM signs),
+ends AS (
+  SELECT *, regexp_extract(whole, '{_REMAINS}') AS mark, {_WORDS.format(f"rtrim(regexp_replace(whole, '{_REMAINS}', ''))")} AS w FROM bodies
+), trimmed AS (SELECT * REPLACE (CASE WHEN w[-1] = '.' THEN w[:-2] ELSE w END AS w), coalesce(w[-1] = '.', false) AS closed, regexp_matches(mark, '[\p{{L}}\p{{N}}.]') AS apart FROM ends),
 finals AS (
-  SELECT *, list_filter(list_transform(regexp_extract_all(lower(body), '[0-9\x{0660}-\x{0669}]+(?:[.,][0-9\x{0660}-\x{0669}]+)*|[\p{L}\p{M}\p{N}]+|[.!?؟。…]+|[\r\n]+'),
-    lambda t: CASE WHEN regexp_matches(t, '^[0-9\x{0660}-\x{0669}]') THEN '0' WHEN regexp_matches(t, '^[\r\n.!?؟。…]') THEN '¶' ELSE t END), lambda t: t <> '¶')[-3:] AS w
-  FROM cut_off WHERE length(body) > 0
-), judged AS (
-  SELECT f.*, coalesce(inside, 0) >= 100 AND terminal - 1 <= 0.005 * (inside + terminal) AS broken
-  FROM finals f LEFT JOIN counts ON len(w) = 3 AND gram = w[1] || ' ' || w[2] || ' ' || w[3]
-)
+  SELECT *, {_BEFORE.format(x="coalesce(w[-3], '¶')", y="coalesce(w[-2], '¶')")}, w[-1] AS z, CASE WHEN apart THEN 0 ELSE 1 END AS own, CASE WHEN apart OR signed THEN 0 ELSE 1 END AS own_last FROM trimmed
+), read AS (SELECT kind, list_concat(['¶', '¶'], {_WORDS.format("text")}) AS w FROM split_up),
+places AS (SELECT kind, w, unnest(range(3, len(w) + 1)) AS i FROM read),
+grams AS (
+  SELECT kind, x, y, z, count(*) AS n, count(*) FILTER (s = '.') AS closed, count(*) FILTER (s IS NULL OR s = '¶') AS open, count(*) FILTER (s IS NULL) AS last
+  FROM (SELECT kind, {_BEFORE.format(x="w[i - 2]", y="w[i - 1]")}, w[i] AS z, w[i + 1] AS s FROM places WHERE w[i] NOT IN ('¶', '.')) GROUP BY ALL
+), two AS (SELECT kind, y, z, sum(n) AS n, sum(closed) AS closed, sum(open) AS open FROM grams GROUP BY ALL),
+one AS (SELECT kind, z, sum(n) AS n, sum(closed) AS closed, sum(open) AS open, sum(last) AS last FROM grams GROUP BY ALL),
+al AS (SELECT kind, sum(n) AS n, sum(closed) AS closed, sum(open) AS open FROM one GROUP BY ALL),
+sign_offs AS (SELECT kind, count(*) FILTER (signed AND worded) AS n FROM finals GROUP BY 1),
+joined AS (
+  SELECT f.doc_id, f.source, f.own, coalesce(g.n, 0) AS n3, coalesce(CASE WHEN f.closed THEN g.closed ELSE g.open END, 0) AS e3, coalesce(t.n, 0) AS n2, coalesce(CASE WHEN f.closed THEN t.closed ELSE t.open END, 0) AS e2,
+    coalesce(o.n, 0) AS n1, coalesce(CASE WHEN f.closed THEN o.closed ELSE o.open END, 0) AS e1, a.n AS n0, CASE WHEN f.closed THEN a.closed ELSE a.open - s.n END AS e0,
+    NOT f.closed AND coalesce(2 * (o.last - own_last) >= o.n - own, true) AS piece
+  FROM finals f LEFT JOIN grams g ON g.kind = f.kind AND g.x = f.x AND g.y = f.y AND g.z = f.z
+  LEFT JOIN two t ON t.kind = f.kind AND t.y = f.y AND t.z = f.z LEFT JOIN one o ON o.kind = f.kind AND o.z = f.z LEFT JOIN al a ON a.kind = f.kind LEFT JOIN sign_offs s ON s.kind = f.kind
+), s0 AS (SELECT *, (greatest(coalesce(e0, 0) - own, 0) + 1) / (greatest(coalesce(n0, 0) - own, 0) + 20) AS s0 FROM joined),
+s1 AS (SELECT *, (greatest(e1 - own, 0) + 20 * s0) / (greatest(n1 - own, 0) + 20) AS s1 FROM s0),
+s2 AS (SELECT *, (greatest(e2 - own, 0) + 20 * s1) / (greatest(n2 - own, 0) + 20) AS s2 FROM s1),
+judged AS (SELECT doc_id, source, CASE WHEN piece THEN s0 ELSE (greatest(e3 - own, 0) + 20 * s2) / (greatest(n3 - own, 0) + 20) END < 0.01 AS cut FROM s2)
 """
-_CUT = r"""CASE
-  WHEN regexp_matches(body, '[.!?؟。]+["”’»\x27)\]]*$') THEN broken WHEN remains THEN true
-  WHEN regexp_matches(body, '^\s*[-*•]\s.*:\s*\p{N}+([.,]\p{N}+)*\s*$') THEN false
-  WHEN n_lines = 1 AND regexp_matches(body, '^\s*\p{L}{2,12}:\s') AND NOT regexp_matches(body, '[.!?؟。]["”’»)\]]*\s') THEN broken ELSE true END"""
 
 ORACLES = {
     "p1_found": """
@@ -149,6 +156,6 @@ named AS (
 ), votes AS (SELECT g, sp, count(*) AS n FROM named WHERE sp IS NOT NULL GROUP BY g, sp),
 most AS (SELECT g, sp FROM votes QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, CASE sp WHEN 'train' THEN 0 WHEN 'validation' THEN 1 WHEN 'test' THEN 2 ELSE 99 END, sp DESC) = 1)
 SELECT record_id FROM named JOIN most USING (g) WHERE named.sp IS NOT NULL AND named.sp <> most.sp""",
-    "p8_found": _JUDGED + f"SELECT doc_id FROM judged WHERE {_CUT}",
-    "p8_rates": _JUDGED + f"SELECT d.source, count(*) AS n_texts, count(*) FILTER ({_CUT}) AS n_cut, count(*) FILTER ({_CUT}) / count(*) AS cut_rate FROM judged JOIN documents d USING (doc_id) GROUP BY 1",
+    "p8_found": _JUDGED + "SELECT doc_id FROM judged WHERE cut",
+    "p8_rates": _JUDGED + "SELECT source, count(*) AS n_texts, count(*) FILTER (cut) AS n_cut, count(*) FILTER (cut) / count(*) AS cut_rate FROM judged GROUP BY 1",
 }

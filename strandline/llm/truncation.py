@@ -1,100 +1,133 @@
 """Problem 8: texts that were cut off before their end, in SQL.
 
-Word trigrams (digits masked) are counted over all texts, apart for those that another word follows and
-those at the end of a sentence or line. A text's last trigram is joined to these counts: one that is frequent
-inside and almost never terminal is no place where a text ends, closing mark or not. Around that, a text's
-tail is read in layers: what a cut leaves behind (an ellipsis, a broken entity, tag or escape), then a
-sign-off line, which is known by its first word: one that hardly begins any line but last ones.
+Word trigrams (digits masked) are counted over all texts, apart for those that another word follows, those that
+a closing mark follows and those at the end of a line without one. Each text's final trigram is joined to these
+counts, backed off to its last two words, its last word and any word where it is rare. The share of its uses
+that end as this text does, its own use aside, decides: a place where words are frequent inside and hardly ever
+at such an end is no end of a text, closing mark or not.
+
+Before that, a text's tail is made ready: what a cut leaves behind (an ellipsis, a broken entity, tag or escape)
+is taken off, and so is a sign-off line, which is known by its first word: one that hardly begins any line but
+last ones. Texts of one line that begin with a heading ("FLASH: …") are counted apart for each heading.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
-# Fixed values, as regular expressions: closing marks, remains of a cut, an item of an inventory, a notice's heading.
+from strandline.plans.staging import staged
+
+# Fixed values, as regular expressions: closing marks, remains of a cut.
 CLOSED = r"[.!?؟。]+[\"”’»\\x27)\\]]*$"
-REMAINS = r"(\\s*\\[(…|\\.{3}|\\+\\d+ chars)\\]|…|\\.{3}|&[#A-Za-z0-9]{0,7}|<[^<>]{0,200}|\\\\u?[0-9A-Fa-f]{0,4}|\\uFFFD+)$"
-ITEM = r"^\\s*[-*•]\\s.*:\\s*\\p{N}+([.,]\\p{N}+)*\\s*$"
-NOTICE = r"^\\s*\\p{L}{2,12}:\\s"
-#: A trigram is no end of a text if it is followed by a word at least so often, and ends a line in at most this share, the text's own end aside.
-INSIDE, TERMINAL = 100, 0.005
-#: A line whose first word begins last lines in at least this share is a sign-off.
-SIGN_OFF = 0.8
-
-# A number, a word, a run of closing marks or of line ends.
-TOKEN = r"[\p{L}\p{M}][\p{L}\p{M}\p{N}]*+|[0-9\u0660-\u0669]++(?:[.,][0-9\u0660-\u0669]++)*|\p{N}[\p{L}\p{M}\p{N}]*+|[.!?؟。…]+|[\r\n]+"
-_FIRST_WORD = r"^\s*([—–-]?\s*[\p{L}\p{M}]+)"
-# A token as a number: 0 for any number, 1 for an end, else the word's hash.
-_CODED = """transform(regexp_extract_all(lower({text}), r'{token}', 0), t -> CASE
-    WHEN ascii(t) BETWEEN 97 AND 122 OR ascii(t) BETWEEN 1569 AND 1610 THEN xxhash64(t)
-    WHEN ascii(t) BETWEEN 48 AND 57 OR ascii(t) BETWEEN 1632 AND 1641 THEN 0L
-    WHEN ascii(t) IN (10, 13, 33, 46, 63, 1567, 8230, 12290) THEN 1L ELSE xxhash64(t) END)"""
-
-_LAYERS = rf"""
-WITH kept AS (
-  SELECT doc_id, source, trim(TRAILING ' \t\r\n\u00a0\u200b\ufeff' FROM text) AS text
-  FROM {{view}} WHERE text IS NOT NULL AND trim(text) <> ''
+REMAINS = r"(\\s*\\[(…|\\.{3}|\\+\\d+ chars)\\]|\\s*…|\\.{3}|&[#A-Za-z0-9]{0,7}|<[^<>]{0,200}|\\\\u?[0-9A-Fa-f]{0,4}|\\uFFFD+)+$"
+#: A final trigram is no end of a text if less than this share of its uses end so.
+SHARE = 0.01
+#: Uses that the shorter n-gram's share counts for in a longer one's.
+BACKOFF = 20
+#: A line whose first word begins last lines in at least this share of at least so many lines is a sign-off.
+SIGN_OFF, SIGN_LINES = 0.8, 3
+
+# A word, a number, a colon, a run of closing marks or of line ends.
+TOKEN = r"[\p{L}\p{M}][\p{L}\p{M}\p{N}]*+|[0-9٠-٩]++(?:[.,][0-9٠-٩]++)*|\p{N}[\p{L}\p{M}\p{N}]*+|:|[.!?؟。]+|[\r\n]+"
+
+
+def _code(t: str) -> str:
+    """A token as a number: 0 for any number, 1 for a closing mark, 2 for a line's end, else the word's hash."""
+    return f"""CASE WHEN ascii({t}) BETWEEN 97 AND 122 OR ascii({t}) BETWEEN 1569 AND 1610 THEN xxhash64({t})
+      WHEN {t} IS NULL OR ascii({t}) IN (10, 13) THEN 2L WHEN ascii({t}) BETWEEN 48 AND 57 OR ascii({t}) BETWEEN 1632 AND 1641 THEN 0L
+      WHEN ascii({t}) IN (33, 46, 63, 1567, 12290) THEN 1L ELSE xxhash64({t}) END"""
+
+
+# kind: the heading of a text of one line, else empty; x, y: two words before z, 1 where a sentence or line begins
+_GRAMS = rf"""
+SELECT kind, x, y, z, count(*) AS n, count_if(after = 1) AS closed, count_if(after = 2) AS open, count_if(after = 2 AND last) AS last
+FROM (
+  SELECT kind, IF(y < 3 AND y > 0, 1L, IF(x IN (1, 2), 1L, x)) AS x, IF(y = 2, 1L, y) AS y, z, after, last
+  FROM (
+    SELECT kind, {_code("t.x")} AS x, {_code("t.y")} AS y, {_code("t.z")} AS z, {_code("t.after")} AS after, t.after IS NULL AS last
+    FROM (
+      SELECT kind, inline(arrays_zip(concat(array('\n', '\n'), w), concat(array('\n'), w), w, slice(w, 2, size(w)))) AS (x, y, z, after)
+      FROM (SELECT xxhash64(IF(text RLIKE r'[\r\n]', '', lower(regexp_extract(text, r'^\s*(\p{{L}}+):\s', 1)))) AS kind, regexp_extract_all(lower(text), r'{TOKEN}', 0) AS w FROM kept)
+    ) t WHERE t.z IS NOT NULL
+  ) WHERE z NOT IN (1, 2)
+) GROUP BY kind, x, y, z
+"""
+_KEPT = r"""WITH kept AS (
+  SELECT * FROM (SELECT doc_id, source, trim(TRAILING ' \t\r\n\u00a0\u200b\ufeff' FROM text) AS text FROM {documents}) WHERE trim(text) <> ''
+)"""
+
+_FIRST = "lower(substring_index(ltrim({line}), ' ', 1))"
+_TAIL = "regexp_extract_all(lower({text}), r'{token}', 0)"
+_JUDGED = rf"""
+, lined AS (SELECT doc_id, source, text, split(text, r'[\r\n]+\s*') AS lines FROM kept
 ), firsts AS (
   SELECT word, count_if(last) / count(*) AS last_share FROM (
-    SELECT lower(regexp_extract(line, r'{_FIRST_WORD}', 1)) AS word, pos = n - 1 AS last
-    FROM (SELECT split(text, r'[\r\n]+\s*') AS lines, size(lines) AS n FROM kept WHERE text RLIKE r'[\r\n]') LATERAL VIEW posexplode(lines) AS pos, line
-  ) GROUP BY word
+    SELECT {_FIRST.format(line="line")} AS word, pos = n - 1 AS last
+    FROM (SELECT lines, size(lines) AS n FROM lined WHERE size(lines) > 1) LATERAL VIEW posexplode(lines) AS pos, line
+  ) GROUP BY word HAVING count(*) >= {SIGN_LINES} AND count_if(last) >= {SIGN_OFF} * count(*)
 ), tails AS (
-  SELECT doc_id, source, n, rtrim(element_at(lines, -1)) AS last, CASE WHEN n > 1 THEN rtrim(element_at(lines, -2)) END AS prior,
-         lower(regexp_extract(element_at(lines, -1), r'{_FIRST_WORD}', 1)) AS word
-  FROM (SELECT doc_id, source, split(text, r'[\r\n]+\s*') AS lines, size(lines) AS n FROM kept)
+  SELECT doc_id, source, size(lines) AS n, rtrim(element_at(lines, -1)) AS last, CASE WHEN size(lines) > 1 THEN rtrim(element_at(lines, -2)) END AS prior,
+         {_FIRST.format(line="element_at(lines, -1)")} AS word,
+         xxhash64(IF(size(lines) > 1, '', lower(regexp_extract(text, r'^\s*(\p{{L}}+):\s', 1)))) AS kind
+  FROM lined
 ), signs AS (
   SELECT t.*, n > 1 AND NOT last RLIKE '{CLOSED}' AND (
            NOT last RLIKE r'\p{{L}}' OR last RLIKE r'^\s*[(\[].*[)\]]$' OR last RLIKE r'https?://\S+$'
-           OR (coalesce(f.last_share, 0) >= {SIGN_OFF} AND last RLIKE r'\S\s+\S')) AS signed
+           OR (f.word IS NOT NULL AND last RLIKE r'\S\s+\S')) AS signed, last RLIKE r'[\p{{L}}\p{{N}}]' AS worded
   FROM tails t LEFT JOIN firsts f ON f.word = t.word
 ), bodies AS (
-  SELECT doc_id, source, signed, n_lines, length(mark) > 0 AS remains, rtrim(left(whole, length(whole) - length(mark))) AS body
-  FROM (SELECT doc_id, source, signed, n - signed::int AS n_lines, IF(signed, prior, last) AS whole, regexp_extract(right(IF(signed, prior, last), 400), '{REMAINS}', 0) AS mark FROM signs)
-), finals AS (
-  SELECT doc_id, source, signed, remains, right(body, 400) RLIKE '{CLOSED}' AS closed, body RLIKE '{ITEM}' AS item,
-         n_lines = 1 AND body RLIKE '{NOTICE}' AND NOT body RLIKE r'[.!?؟。]["”’»)\]]*\s' AS notice,
-         IF(size(w) >= 3, {{gram}}, NULL) AS gram
+  SELECT doc_id, source, kind, signed, signed AND worded AS worded, mark, rtrim(left(whole, length(whole) - length(mark))) AS body
+  FROM (SELECT *, IF(signed, prior, last) AS whole, regexp_extract(right(IF(signed, prior, last), 400), '{REMAINS}', 0) AS mark FROM signs)
+), ends AS (
+  SELECT doc_id, source, kind, signed, worded, mark, IF(try_element_at(w, -1) RLIKE r'^[.!?؟。]', slice(w, 1, size(w) - 1), w) AS w, coalesce(try_element_at(w, -1) RLIKE r'^[.!?؟。]', false) AS closed
   FROM (
-    SELECT *, slice(IF(size(near) > 3 OR length(body) <= 300, near, filter({_CODED.format(text="body", token=TOKEN)}, t -> t <> 1)), -3, 3) AS w
-    FROM (SELECT *, 0 AS i, filter({_CODED.format(text="right(body, 300)", token=TOKEN)}, t -> t <> 1) AS near FROM bodies WHERE length(body) > 0)
+    SELECT *, IF(size(near) > 5 OR length(body) <= 300, near, {_TAIL.format(text="body", token=TOKEN)}) AS w
+    FROM (SELECT *, {_TAIL.format(text="right(body, 300)", token=TOKEN)} AS near FROM bodies)
   )
-), grams AS (
-  SELECT explode(transform(sequence(0, size(w) - 3), i -> IF(w[i] = 1 OR w[i + 1] = 1 OR w[i + 2] = 1, NULL,
-           shiftleft({{gram}}, 1) + IF(coalesce(get(w, i + 3), 1) = 1, 1, 0)))) AS g
-  FROM (SELECT {_CODED.format(text="text", token=TOKEN)} AS w FROM kept) WHERE size(w) >= 3
-), counts AS (
-  SELECT shiftright(g, 1) AS gram, sum(IF(g % 2 = 0, n, 0)) AS inside, sum(IF(g % 2 = 0, 0, n)) AS terminal
-  FROM (SELECT g, count(*) AS n FROM grams WHERE g IS NOT NULL GROUP BY g) GROUP BY shiftright(g, 1)
-), judged AS (
-  SELECT f.doc_id, f.source, f.signed, f.remains, f.closed, f.item, f.notice, coalesce(c.inside, 0) AS inside, coalesce(c.terminal, 0) AS terminal,
-         coalesce(c.inside, 0) >= {INSIDE} AND c.terminal - 1 <= {TERMINAL} * (c.inside + c.terminal) AS broken_gram
-  FROM finals f LEFT JOIN counts c ON c.gram = f.gram
+), finals AS (
+  SELECT doc_id, source, kind, signed, worded, closed, mark <> '' AS remains, IF(y IN (1, 2), 1L, IF(x IN (1, 2), 1L, x)) AS x, IF(y = 2, 1L, y) AS y, z,
+         -- whether the counts hold the text's own end
+         IF(mark RLIKE r'[\p{{L}}\p{{N}}.]', 0, 1) AS own, IF(mark RLIKE r'[\p{{L}}\p{{N}}.]' OR signed, 0, 1) AS own_last
+  FROM (SELECT *, {_code("try_element_at(w, -3)")} AS x, {_code("try_element_at(w, -2)")} AS y, {_code("try_element_at(w, -1)")} AS z FROM ends)
+), two AS (SELECT kind, y, z, sum(n) AS n, sum(closed) AS closed, sum(open) AS open FROM {{grams}} GROUP BY kind, y, z
+), one AS (SELECT kind, z, sum(n) AS n, sum(closed) AS closed, sum(open) AS open, sum(last) AS last FROM {{grams}} GROUP BY kind, z
+), any AS (SELECT kind, sum(n) AS n, sum(closed) AS closed, sum(open) AS open FROM one GROUP BY kind
+), sign_offs AS (SELECT kind, count_if(worded) AS n FROM finals GROUP BY kind
+), joined AS (
+  SELECT f.*, coalesce(g.n, 0) AS n3, coalesce(IF(f.closed, g.closed, g.open), 0) AS e3, coalesce(t.n, 0) AS n2, coalesce(IF(f.closed, t.closed, t.open), 0) AS e2,
+         coalesce(o.n, 0) AS n1, coalesce(IF(f.closed, o.closed, o.open), 0) AS e1, a.n AS n0, IF(f.closed, a.closed, a.open - s.n) AS e0,
+         -- a last word that is hardly met but at texts' very ends is a piece of one, and tells no more than any word
+         NOT f.closed AND coalesce(2 * (o.last - own_last) >= o.n - own, true) AS piece
+  FROM finals f LEFT JOIN {{grams}} g ON g.kind = f.kind AND g.x = f.x AND g.y = f.y AND g.z = f.z
+  LEFT JOIN two t ON t.kind = f.kind AND t.y = f.y AND t.z = f.z LEFT JOIN one o ON o.kind = f.kind AND o.z = f.z LEFT JOIN any a ON a.kind = f.kind LEFT JOIN sign_offs s ON s.kind = f.kind
+), shares AS (
+  SELECT *, (greatest(e3 - own, 0) + {BACKOFF} * s2) / (greatest(n3 - own, 0) + {BACKOFF}) AS s3
+  FROM (SELECT *, (greatest(e2 - own, 0) + {BACKOFF} * s1) / (greatest(n2 - own, 0) + {BACKOFF}) AS s2
+  FROM (SELECT *, (greatest(e1 - own, 0) + {BACKOFF} * s0) / (greatest(n1 - own, 0) + {BACKOFF}) AS s1
+  FROM (SELECT *, (greatest(coalesce(e0, 0) - own, 0) + 1) / (greatest(coalesce(n0, 0) - own, 0) + {BACKOFF}) AS s0 FROM joined)))
 )
+SELECT doc_id, source, signed, closed, remains, n3 AS uses, IF(piece, s0, s3) AS end_share, IF(piece, s0, s3) < {SHARE} AS cut FROM shares
 """
-# The hash of three coded words from place i on, with its top bit free for the shift.
-_GRAM = "shiftright(xxhash64(w[i], w[i + 1], w[i + 2]), 2)"
 
-_VERDICT = """
-SELECT doc_id, source, signed, closed, inside, terminal,
-       CASE WHEN closed THEN broken_gram WHEN remains THEN true WHEN item THEN false WHEN notice THEN broken_gram ELSE true END AS cut
-FROM judged
-"""
+
+def _sql(text: str, **tables: DataFrame) -> DataFrame:
+    """Runs SQL over tables, which are named in braces; its other braces are those of regular expressions."""
+    text = text.replace("{", "{{").replace("}", "}}")
+    for name in tables:
+        text = text.replace("{{%s}}" % name, "{%s}" % name)
+    return next(iter(tables.values())).sparkSession.sql(text, **tables)
 
 
 def verdicts(documents: DataFrame) -> DataFrame:
     """One row for each text that is not blank: doc_id, source, whether a sign-off follows, whether the text
-    ends in a closing mark, how often its last trigram stands inside and at ends, and whether it was cut.
+    ends in a closing mark, whether a cut left something behind, how often its last trigram is used, the share
+    of its uses that end as the text does, and whether it was cut.
 
-    Null, empty and blank texts have no row. Repeated rows are judged each. Whole texts are counted; texts of
-    fewer than three words are judged by their closing mark alone.
+    Null, empty and blank texts have no row. Repeated rows are judged each. Whole texts are counted. A text of
+    one or two words is judged by these and its beginning; one without any word by its mark.
     """
-    spark = documents.sparkSession
-    view = f"documents_{uuid.uuid4().hex}"
-    documents.createOrReplaceTempView(view)
-    return spark.sql((_LAYERS + _VERDICT).replace("{gram}", _GRAM).replace("{view}", view))
+    slim = documents.select("doc_id", "source", "text")
+    return _sql(_KEPT + _JUDGED, documents=slim, grams=staged(_sql(_KEPT + _GRAMS, documents=slim)))
 
 
 def truncated(documents: DataFrame) -> DataFrame:
@@ -104,6 +137,4 @@ def truncated(documents: DataFrame) -> DataFrame:
 
 def truncation_rates(documents: DataFrame) -> DataFrame:
     """For each source (null is one): texts, cut texts and their rate."""
-    judged = f"judged_{uuid.uuid4().hex}"
-    verdicts(documents).createOrReplaceTempView(judged)
-    return documents.sparkSession.sql(f"SELECT source, count(*) AS n_texts, count_if(cut) AS n_cut, count_if(cut) / count(*) AS cut_rate FROM {judged} GROUP BY source")
+    return documents.sparkSession.sql("SELECT source, count(*) AS n_texts, count_if(cut) AS n_cut, count_if(cut) / count(*) AS cut_rate FROM {judged} GROUP BY source", judged=verdicts(documents))

@@ -133,6 +133,8 @@ def test_overlaps_against_all_pairs(spark, seed, monkeypatch):
     want = {(a, b) for a, b in combinations(sorted(text), 2) if side[a] and side[b] and side[a] != side[b] and similar(text[a], text[b]) >= 0.6}
     got = [(r["record_id_a"], r["record_id_b"]) for r in overlap.overlap_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    for way in ({"routed": False}, {"exact": True}):
+        assert {(r["record_id_a"], r["record_id_b"]) for r in overlap.overlap_pairs(df, **way).collect()} == want
     report = overlap.overlap_report(df).collect()
     assert sum(r["n_pairs"] for r in report) == len(want)
     assert sum(r["overlapping_rows"] for r in report) == len({x for p in want for x in p if side[x] == 2})
@@ -162,9 +164,9 @@ def test_index_decides_the_overlaps(spark, monkeypatch):
     whole = WordIndex.maximal
     monkeypatch.setattr(WordIndex, "maximal", lambda *a: {k: v // 2 for k, v in whole(*a).items()})
     rows = pd.DataFrame([(1, " ".join(NOUNS[:40]), None), (2, " ".join(NOUNS[:39]), [1])], columns=["cls", "text", "partners"])
-    halved = overlap._search(rows).similarity[0]
+    halved = overlap._search(rows, 0.0).similarity[0]
     monkeypatch.undo()
-    assert halved < 0.5 and overlap._search(rows).similarity[0] == 37 / 38
+    assert halved < 0.5 and overlap._search(rows, 0.0).similarity[0] == 37 / 38
 
 
 def test_overlaps_of_null_and_recurring_keys(spark):
@@ -235,7 +237,11 @@ def test_versions_of_a_story_told_by_a_third(spark):
     assert sum(similar(texts[a], texts[b]) < 0.7 for a, b in want) > 1500
     got = {(r["id_a"], r["id_b"]) for r in versions.version_pairs(df, "id", "body").collect()}
     assert got <= want and len(got) > 0.98 * len(want)
+    whole = {(r["id_a"], r["id_b"]) for r in versions.version_pairs(df, "id", "body", exact=True).collect()}
+    assert whole == want
     across = {(a, b) for a, b in want if a % 2 != b % 2}
+    for way in ({"routed": False}, {"exact": True}):
+        assert {(r["id_a"], r["id_b"]) for r in overlap.overlap_pairs(df, "id", text="body", **way).collect()} == across
     met = {(r["id_a"], r["id_b"]) for r in overlap.overlap_pairs(df, "id", text="body").collect()}
     assert met <= across and len(met) > 0.98 * len(across)
     print(f"third: p5 {len(got)} of {len(want)}, p4 {len(met)} of {len(across)}")
@@ -347,15 +353,29 @@ def test_cut_and_whole_texts(spark):
     filler = [(100 + i, f"{sentence} The {NOUNS[i % 60]} council opened talks on the harbour under a deal worth 6.5 million crowns. Reports from {NOUNS[i % 50]} were late.\nReporting by desk {i}", "f") for i in range(150)]
     cut = ["The board reviewed the new fuel dep", sentence + "\nThe boa", sentence + " Officials … [+120 chars]", sentence + " The board rev&nbs", sentence + " The board <a hre", sentence + " They opened talks under a deal worth 6.", "“It is late,” said a", sentence + " The board revi...", sentence + " The bo�"]
     whole = [sentence, sentence + "\n(ends)", sentence + "\n\nReporting by desk 7", sentence + "\nMore at https://updates.example/31", "FLASH: The board agreed to the plan, two delegates confirmed", sentence + "\nInventory:\n- masts: 6.9\n- cranes: 12", "He said “it is late.”", sentence + "\n###", "هل انتهى ذلك؟"]
-    rows = filler + [(i, t, "c") for i, t in enumerate(cut)] + [(50 + i, t, None) for i, t in enumerate(whole)] + [(90, None, "c"), (91, "", "c"), (92, " \n ", "c"), (93, "word " * 60_000, "c"), (93, "word " * 60_000, "c")]
+    rows = filler + [(i, t, "c") for i, t in enumerate(cut)] + [(50 + i, t, None) for i, t in enumerate(whole)] + [(90, None, "c"), (91, "", "c"), (92, " \n ", "c"), *[(93, (sentence + " ") * 5_000 + "The board rev", "c")] * 2]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"gram": F.lit(1), "body": F.lit("x"), "n": F.lit(0)})
     got = sorted(r["doc_id"] for r in truncation.truncated(df).collect())
     assert got == [*range(len(cut)), 93, 93]
+    judged = {r["doc_id"]: r for r in truncation.verdicts(df).collect()}
+    # closing marks do not decide: a number broken at its point is cut, a notice and an inventory are whole
+    assert judged[5]["closed"] and judged[5]["cut"] and not any(judged[50 + i]["closed"] or judged[50 + i]["cut"] for i in (4, 5))
     rates = {r["source"]: (r["n_texts"], r["n_cut"]) for r in truncation.truncation_rates(df).collect()}
     assert rates == {"f": (150, 0), "c": (len(cut) + 2, len(cut) + 2), None: (len(whole), 0)}
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_only_the_counts_decide(spark):
+    """The same two ends, with the counts the other way round: what was cut is whole and what was whole is cut."""
+    inside, end = "grey vans left the old port after dark near the east gate", "talks went on in the old hall until the noon bell"
+    for swapped in (False, True):
+        a, b = (end, inside) if swapped else (inside, end)
+        texts = [f"{a} {NOUNS[i % 60]} said. {b}" for i in range(300)]
+        rows = [(i, t, "s") for i, t in enumerate(texts)] + [(1000, f"They said {a}", "s"), (1001, f"They said {b}", "s"), (1002, f"They said {a}.", "s"), (1003, f"They said {b}.", "s")]
+        got = {r["doc_id"]: r["cut"] for r in truncation.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        assert got[1000] and not got[1001] and got[1002]
+
+
 def test_names(spark):
     df = spark.createDataFrame([(" Train",), ("DEV ",), ("",), (None,), ("odd",)], "s string")
     assert [r[0] for r in df.select(split_name("s")).collect()] == ["train", "validation", None, None, "odd"]
