@@ -16,6 +16,8 @@ from strandline.llm.common import language_name, source_name
 TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # Fixed value: how this family of byte-level vocabularies divides a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Pieces whose numbers of tokens a worker keeps.
+_KNOWN = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -28,14 +30,41 @@ def encoding(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def _counter(path: str):
+    """Counts the tokens of texts, which are sums over the pieces that the pattern divides a text into.
+
+    Pieces recur, so that each new one of a batch is encoded once, all of them together, and kept.
+    """
+    import regex
+
+    pieces, coder, known = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall, encoding(path), {}
+
+    def count(texts: list[str]) -> list[int]:
+        out = []
+        for text in texts:
+            found = pieces(text)
+            try:
+                out.append(sum(map(known.__getitem__, found)))
+            except KeyError:
+                if len(known) > _KNOWN:
+                    known.clear()
+                new = [p for p in dict.fromkeys(found) if p not in known]
+                known.update(zip(new, map(len, coder.encode_ordinary_batch(new, num_threads=1))))
+                out.append(sum(map(known.__getitem__, found)))
+        return out
+
+    return count
+
+
 def token_count(text: str | Column, path: str = TOKENIZER) -> Column:
     """The number of tokens of a text; 0 for null and empty ones. Special tokens' names count as text."""
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = encoding(path)
+        counter = _counter(path)
         for texts in batches:
-            yield pd.Series([len(x) for x in coder.encode_ordinary_batch([t or "" for t in texts], num_threads=1)], dtype="int64")
+            yield pd.Series(counter([t or "" for t in texts]), dtype="int64")
 
     return count(text)
 
