@@ -13,7 +13,7 @@ from strandline.llm.tokens import TOKENIZER, token_count
 from strandline.plans.staging import staged
 
 #: Texts that one task packs.
-ITEMS = 20_000
+ITEMS = 4_000
 _PLACED = "profile_id string, container_id string, position int, doc_id long, source string, piece int, token_start long, tokens int, used_tokens int, unused_tokens int"
 
 
@@ -96,16 +96,25 @@ def contents(documents: DataFrame, profiles: DataFrame, key: str = "doc_id", tex
         names = {s: i for i, s in enumerate(carry.source)}
         mine = mine.sort_values(["source", "doc_id", "tokens"]).reset_index(drop=True)
         queue = mine.source.map(names).to_numpy(np.int64) if len(mine) else np.empty(0, np.int64)
-        sizes, ids = mine.tokens.to_numpy(), mine.doc_id.to_numpy()
-        part = int(carry.part.iloc[0])
+        sizes, part = mine.tokens.to_numpy(), int(carry.part.iloc[0])
         for profile, capacity, separator in settings:
-            for number, window in enumerate(pack_part(sizes, queue, carry.share.to_numpy(), carry.owed.to_numpy(), capacity, separator)):
-                used = sum(w[3] for w in window) + separator * (len(window) - 1)
-                name = f"{profile}-{part:06d}-{number:06d}"
-                out += [(profile, name, place, ids[i], mine.source.iat[i], piece, start, tokens, used, capacity - used) for place, (i, piece, start, tokens) in enumerate(window)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _PLACED.split(", ")])
+            windows = pack_part(sizes, queue, carry.share.to_numpy(), carry.owed.to_numpy(), capacity, separator)
+            if windows:
+                held = np.array([len(w) for w in windows])
+                item, piece, start, tokens = np.array([x for w in windows for x in w], np.int64).T
+                begin = np.cumsum(held) - held
+                used = np.add.reduceat(tokens, begin) + separator * (held - 1)
+                names_of = np.array([f"{profile}-{part:06d}-{number:06d}" for number in range(len(windows))], object)
+                every = lambda x: np.repeat(x, held)
+                out.append(pd.DataFrame({
+                    "profile_id": profile, "container_id": every(names_of), "position": np.arange(len(item)) - every(begin), "doc_id": mine.doc_id.to_numpy()[item], "source": mine.source.to_numpy()[item],
+                    "piece": piece, "token_start": start, "tokens": tokens, "used_tokens": every(used), "unused_tokens": capacity - every(used),
+                }))
+        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in _PLACED.split(", ")})
 
-    return items.groupBy("part").cogroup(carried.groupBy("part")).applyInPandas(pack, _PLACED)
+    # as many tasks as parts: their bytes are few, but not the work
+    spread = lambda df: df.repartition(parts, "part")
+    return spread(items).groupBy("part").cogroup(spread(carried).groupBy("part")).applyInPandas(pack, _PLACED)
 
 
 def fill(placed: DataFrame, profiles: DataFrame) -> DataFrame:
