@@ -13,16 +13,18 @@ from strandline.llm.textcodes import mix
 from strandline.llm.tokens import TOKENIZER, token_count
 from strandline.plans.staging import staged
 
-#: Draws of a block, tokens of an output shard, and parts into which a source is divided before it is ranked.
-BLOCK, SHARD_TOKENS, PARTS = 16, 4_000_000, 512
+#: Draws of a block, tokens of an output shard, shards of a mix at least (of no less than a block each), and texts
+#: of one part of a source, in which they are ranked.
+BLOCK, SHARD_TOKENS, LEAST_SHARDS, RANKED = 4, 1_000_000, 8, 200_000
 SEED = 20240
 
 
-def quotas(targets: DataFrame, amounts: DataFrame) -> DataFrame:
+def quotas(targets: DataFrame, amounts: DataFrame, total: int | None = None) -> DataFrame:
     """mix_id, source, target_share, max_repeats, available tokens, quota of tokens, whole passes and the rest.
 
-    The mix is as large as it can be with every source at its share and within its repeats; sources that have
-    no tokens are left out of the shares' sum and get nothing. Negative or null shares count as 0.
+    The mix is as large as it can be with every source at its share and within its repeats, or has so many
+    tokens in total, less what scarce sources cannot give; sources that have no tokens are left out of the
+    shares' sum and get nothing. Negative or null shares count as 0.
     """
     known = targets.select("mix_id", "source", F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
     whole = Window.partitionBy("mix_id")
@@ -31,7 +33,8 @@ def quotas(targets: DataFrame, amounts: DataFrame) -> DataFrame:
     norm = F.col("target_share") / F.sum(F.when(usable, F.col("target_share"))).over(whole)
     shared = found.withColumn("share", F.when(usable, norm).otherwise(F.lit(0.0)))
     most = F.min(F.when(usable, F.col("max_repeats") * F.col("available") / F.col("share"))).over(whole)
-    sized = shared.withColumn("quota", F.when(usable, F.col("share") * most).otherwise(F.lit(0.0)))
+    wanted = F.col("share") * (most if total is None else F.lit(float(total)))
+    sized = shared.withColumn("quota", F.when(usable, F.least(wanted, F.col("max_repeats") * F.col("available"))).otherwise(F.lit(0.0)))
     passes = F.when(usable, F.least(F.floor(F.col("quota") / F.col("available") + 1e-9), F.col("max_repeats").cast("long"))).otherwise(F.lit(0))
     return sized.withColumn("passes", passes).withColumn("rest", F.greatest(F.col("quota") - F.col("passes") * F.coalesce("available", F.lit(0)), F.lit(0.0)))
 
@@ -74,20 +77,22 @@ def permuted(place: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarra
     return out.astype(np.int64)
 
 
-def chosen(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", path: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
-    """(chosen texts, quotas). Chosen: mix_id, source, doc_id, tokens, place in its source, uses.
+def chosen(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", path: str = TOKENIZER, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chosen texts, quotas). Chosen: mix_id, source, doc_id, tokens, uses, and the number of its first and last draw.
 
-    Each source gives all its texts in so many whole passes, and the first texts in the order of a hash up to
-    the rest of its quota. Texts of no tokens and of no or no wanted source are never chosen. A key that recurs
-    is a text each time.
+    Each source gives all its texts in so many whole passes, then the first texts in the order of a hash up to
+    the rest of its quota, and one more, the text that comes nearest to what is still lacking. Texts of no
+    tokens and of no or no wanted source are never chosen. A key that recurs is a text each time.
     """
     counted = documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), token_count(text, path).alias("tokens"))
     wanted = targets.select("source").distinct()
     items = staged(counted.join(wanted, "source", "left_semi").filter("tokens > 0"))
-    amounts = items.groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("n_docs"))
-    plan = staged(quotas(targets, amounts))
+    amounts = staged(items.groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("n_docs")))
+    plan = staged(quotas(targets, amounts, total))
     # tokens and texts before each text in its source: sums over parts of the hash, then inside a part
-    hashed = items.withColumn("h", F.xxhash64("doc_id", F.lit(SEED))).withColumn("part", F.shiftrightunsigned("h", 55))
+    most = amounts.agg(F.max("n_docs")).first()[0] or 1
+    bits = max(4, (most // RANKED).bit_length())
+    hashed = items.withColumn("h", F.xxhash64("doc_id", F.lit(SEED))).withColumn("part", F.shiftrightunsigned("h", 64 - bits))
     sizes = hashed.groupBy("source", "part").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("source", "part", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"))
@@ -97,11 +102,18 @@ def chosen(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text:
         (F.col("t0") + F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).alias("start"),
         (F.col("n0") + F.row_number().over(inside) - 1).alias("place"),
     )
-    used = ranked.join(plan.filter("quota > 0").select("mix_id", "source", "passes", "rest", "max_repeats"), "source")
-    extra = (F.col("start") + F.col("tokens") / 2 <= F.col("rest")) & (F.col("passes") < F.col("max_repeats"))
-    taken = used.withColumn("uses", F.col("passes") + extra.cast("long")).filter("uses > 0")
+    open_ = (F.col("rest") > 0) & (F.col("passes") < F.col("max_repeats"))
+    used = ranked.join(plan.filter("quota > 0").select("mix_id", "source", "passes", "rest", "max_repeats", "n_docs"), "source")
+    used = staged(used.withColumns({"extra": open_ & (F.col("start") + F.col("tokens") / 2 <= F.col("rest")), "open": open_}).drop("max_repeats"))
+    given = used.groupBy("mix_id", "source").agg(F.coalesce(F.sum(F.when(F.col("extra"), F.col("tokens"))), F.lit(0)).alias("given"), F.count_if("extra").alias("n_extra"))
+    lacking = used.join(given, ["mix_id", "source"]).filter(F.col("open") & ~F.col("extra")).withColumn("off", F.abs(F.col("rest") - F.col("given") - F.col("tokens")))
+    filler = lacking.filter(F.col("off") < F.col("rest") - F.col("given")).groupBy("mix_id", "source").agg(F.min_by("place", F.struct("off", "place")).alias("filler"), F.first("n_extra").alias("n_extra"))
+    both = used.join(filler, ["mix_id", "source"], "left")
+    # the number of a text's draw in the last, partial pass
+    last = F.when(F.col("extra"), F.col("place")).when(F.col("place") == F.col("filler"), F.col("n_extra"))
+    taken = both.withColumn("last", last).withColumn("uses", F.col("passes") + F.col("last").isNotNull().cast("long")).filter("uses > 0")
     # kept: the draws are numbered from sums over it
-    return staged(taken.select("mix_id", "source", "doc_id", "tokens", "place", "uses")), plan
+    return staged(taken.select("mix_id", "source", "doc_id", "tokens", "uses", "place", "last", "passes", "n_docs")), plan
 
 
 def shares(taken: DataFrame, plan: DataFrame) -> DataFrame:
@@ -119,12 +131,12 @@ def placed(taken: DataFrame) -> DataFrame:
     splitting tree gives each shard exact numbers of each source's blocks; the shard takes the next of them.
     """
     draws = taken.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), "uses")))
-    # a pass is as long as the source has chosen texts with so many uses; places of later passes follow earlier ones
-    amounts = taken.groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.sum("uses") / BLOCK).alias("blocks"), F.sum(F.col("tokens") * F.col("uses")).alias("tokens"))
-    numbered = draws.join(amounts.select("mix_id", "source", "m"), ["mix_id", "source"]).withColumn("block", F.floor(((F.col("pass") - 1) * F.col("m") + F.col("place") % F.col("m")) / BLOCK))
-    leaves = amounts.groupBy("mix_id").agg(
-        F.greatest(F.lit(1), F.ceil(F.sum("tokens") / SHARD_TOKENS)).cast("int").alias("n_shards"), F.array_sort(F.collect_list(F.struct("source", "blocks"))).alias("sources")
-    ).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1)))
+    number = F.when(F.col("pass") <= F.col("passes"), (F.col("pass") - 1) * F.col("n_docs") + F.col("place")).otherwise(F.col("passes") * F.col("n_docs") + F.col("last"))
+    numbered = draws.withColumn("block", F.floor(number / BLOCK))
+    amounts = taken.groupBy("mix_id", "source").agg(F.ceil(F.sum("uses") / BLOCK).alias("blocks"), F.sum(F.col("tokens") * F.col("uses")).alias("tokens"))
+    shards = F.greatest(F.lit(1), F.least(F.sum("blocks"), F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.sum("tokens") / SHARD_TOKENS)))).cast("int")
+    leaves = amounts.groupBy("mix_id").agg(shards.alias("n_shards"), F.array_sort(F.collect_list(F.struct("source", "blocks"))).alias("sources"))
+    leaves = leaves.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1))).repartition("mix_id", "shard")
 
     def draw(frames):
         for pdf in frames:
