@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from strandline.operators.graph import connected_components
 from strandline.plans.staging import staged
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
-#: Parts into which the members of a bundle are divided before they are ranked.
-PARTS = 512
+#: Components of one part of a bundle, in which they are ranked.
+RANKED = 200_000
+#: Cost of a row above one quota and, with it, below another, where a row outside its preferred split costs 1.
+DEVIATION = 4.0
 
 
 def groups(rows: DataFrame, key: str = "record_id", source: str = "source_id", document: str = "document_id") -> DataFrame:
@@ -33,70 +37,71 @@ def groups(rows: DataFrame, key: str = "record_id", source: str = "source_id", d
     return found.withColumn("group_id", name).drop("_s", "_d", "_m", "_root", "component")
 
 
-def allocate(bundles: list[tuple[int, int, str | None]], shares: dict[str, float]) -> list[dict[str, int]]:
+def allocate(bundles: list[tuple[int, int, str | None]], shares: dict[str, float], deviation: float = DEVIATION) -> list[dict[str, int]]:
     """For each bundle of (size, components, preferred split): how many of its components go to each split.
 
-    A transport problem: rows flow from bundles to splits, a row that leaves its preferred split costs one,
-    and quotas are exact. It is solved by moving rows along cheapest paths between splits until no split has
-    too many. Whole components are then rounded down, and the rest go, largest first, where most is lacking.
+    A min-cost flow from bundles through splits to quotas: a row outside its preferred split costs one, a row
+    beyond a quota costs the deviation. All rows begin in their preferred split (in all, by quota, if they have
+    none); then rows are moved along the cheapest path from a split that has too many to one that has too
+    few, as long as a path costs less than the deviation that it saves. Each arc between two splits keeps a
+    heap of the bundles that can take it, so that a move costs the logarithm of their number; each move
+    empties a bundle's share of a split or meets a quota. Whole components are then rounded down, and the
+    rest go, largest first, where most is lacking.
     """
     names = list(shares)
     total = sum(s * n for s, n, _ in bundles)
-    quota = {j: shares[j] / sum(shares.values()) * total for j in names}
-    flow = [dict.fromkeys(names, 0.0) for _ in bundles]
-    held = dict.fromkeys(names, 0.0)
-    for f, (s, n, likes) in zip(flow, bundles):
-        for j in [likes] if likes in quota else names:
-            amount = s * n if likes in quota else s * n * quota[j] / max(total, 1)
-            f[j] += amount
-            held[j] += amount
-    costs = [{j: 0 if likes in (j, None) or likes not in quota else 1 for j in names} for _, _, likes in bundles]
-    for _ in range(64 * len(bundles) + 64):
-        over = [j for j in names if held[j] - quota[j] > 0.5]
-        if not over:
-            break
-        # cheapest way from each split that has too much, over arcs that some bundle's rows can take
-        arc: dict[tuple[str, str], tuple[int, int, float, int]] = {}
-        for i, f in enumerate(flow):
-            for a in names:
-                if f[a] > 1e-9:
-                    for b in names:
-                        if a != b:
-                            # of equal costs the smallest components move: they can be rounded best
-                            best = (costs[i][b] - costs[i][a], bundles[i][0], -f[a], i)
-                            if (a, b) not in arc or best < arc[a, b]:
-                                arc[a, b] = best
-        dist = {j: (0, None) if j in over else (1 << 30, None) for j in names}
-        for _ in names:
-            for (a, b), (c, *_) in arc.items():
-                if dist[a][0] + c < dist[b][0]:
-                    dist[b] = (dist[a][0] + c, a)
-        short = [j for j in names if quota[j] - held[j] > 1e-9 and dist[j][1] is not None]
-        if not short:
+    quota = [shares[j] / sum(shares.values()) * total for j in names]
+    likes = [names.index(k) if k in shares else None for _, _, k in bundles]
+    splits = range(len(names))
+    flow = [[float(s * n) * (k == j if k is not None else quota[j] / max(total, 1)) for j in splits] for (s, n, _), k in zip(bundles, likes)]
+    held = [sum(f[j] for f in flow) for j in splits]
+    price = lambda i, a, b: 0 if likes[i] is None else (likes[i] == a) - (likes[i] == b)
+    # of equal costs the smallest components move: they can be rounded best
+    arcs = {(a, b): [(price(i, a, b), bundles[i][0], i) for i in range(len(bundles)) if flow[i][a] > 0] for a in splits for b in splits if a != b}
+    for heap in arcs.values():
+        heapify(heap)
+    while True:
+        over = [j for j in splits if held[j] - quota[j] > 0.5]
+        for (a, _), heap in arcs.items():
+            while heap and flow[heap[0][2]][a] <= 1e-9:
+                heappop(heap)
+        dist = {j: (0, None) for j in over}
+        for _ in splits:
+            for (a, b), heap in arcs.items():
+                if heap and a in dist and (b not in dist or dist[a][0] + heap[0][0] < dist[b][0]):
+                    dist[b] = (dist[a][0] + heap[0][0], a)
+        short = [j for j in splits if quota[j] - held[j] > 1e-9 and j in dist and j not in over]
+        end = min(short, key=lambda j: dist[j][0], default=None)
+        if end is None or dist[end][0] >= deviation:
             break
-        end = min(short, key=lambda j: dist[j][0])
         path = [end]
         while dist[path[-1]][1] is not None and len(path) <= len(names):
             path.append(dist[path[-1]][1])
         path.reverse()
-        amount = min([held[path[0]] - quota[path[0]], quota[end] - held[end], *(-arc[a, b][2] for a, b in zip(path, path[1:]))])
-        for a, b in zip(path, path[1:]):
-            flow[arc[a, b][3]][a] -= amount
-            flow[arc[a, b][3]][b] += amount
+        steps = [(a, b, arcs[a, b][0][2]) for a, b in zip(path, path[1:])]
+        amount = min([held[path[0]] - quota[path[0]], quota[end] - held[end], *(flow[i][a] for a, _, i in steps)])
+        for a, b, i in steps:
+            fresh = flow[i][b] <= 1e-9
+            flow[i][a] -= amount
+            flow[i][b] += amount
+            if fresh:
+                for c in splits:
+                    if c != b:
+                        heappush(arcs[b, c], (price(i, b, c), bundles[i][0], i))
         held[path[0]] -= amount
         held[end] += amount
-    out = [{j: int(f[j] / s + 1e-6) if s else 0 for j in names} for f, (s, _, _) in zip(flow, bundles)]
-    left = {j: quota[j] - sum(o[j] * s for o, (s, _, _) in zip(out, bundles)) for j in names}
+    out = [{j: int(f[k] / s + 1e-6) if s else 0 for k, j in enumerate(names)} for f, (s, _, _) in zip(flow, bundles)]
+    left = {j: quota[k] - sum(o[j] * s for o, (s, _, _) in zip(out, bundles)) for k, j in enumerate(names)}
     for i in sorted(range(len(bundles)), key=lambda i: -bundles[i][0]):
-        size, n, likes = bundles[i]
+        size, n, liked = bundles[i]
         for _ in range(n - sum(out[i].values())):
-            j = max(names, key=lambda j: (left[j], j == likes))
+            j = max(names, key=lambda j: (left[j], j == liked))
             out[i][j] += 1
             left[j] -= size
     return out
 
 
-def assign(rows: DataFrame, key: str = "record_id", source: str = "source_id", document: str = "document_id", split: str = "split", language: str = "language", shares: dict[str, float] | None = None) -> DataFrame:
+def assign(rows: DataFrame, key: str = "record_id", source: str = "source_id", document: str = "document_id", split: str = "split", language: str = "language", shares: dict[str, float] | None = None, deviation: float = DEVIATION) -> DataFrame:
     """One row for each row: key, group_id, stored split, the split of most rows of its group, the assigned
     split, and torn: the stored split is known and is not that of most rows of the group.
 
@@ -119,7 +124,7 @@ def assign(rows: DataFrame, key: str = "record_id", source: str = "source_id", d
     profile = ["size", "group_split", "group_lang"]
     counted = components.groupBy(*profile).agg(F.count(F.lit(1)).alias("n")).orderBy(*profile).collect()
     cuts = []
-    for b, share in zip(counted, allocate([(r["size"], r["n"], r["group_split"]) for r in counted], shares)):
+    for b, share in zip(counted, allocate([(r["size"], r["n"], r["group_split"]) for r in counted], shares, deviation)):
         start = 0
         for j, n in share.items():
             if n:
@@ -128,7 +133,8 @@ def assign(rows: DataFrame, key: str = "record_id", source: str = "source_id", d
     spark = rows.sparkSession
     ranges = spark.createDataFrame(cuts, "size long, group_split string, group_lang string, assigned string, lo long, hi long")
     # members of a bundle in the order of a hash: ranked inside parts, after the parts before them
-    hashed = components.withColumn("h", F.xxhash64("group_id", F.lit(11))).withColumn("part", F.shiftrightunsigned("h", 55))
+    bits = max(4, (sum(r["n"] for r in counted) // RANKED).bit_length())
+    hashed = components.withColumn("h", F.xxhash64("group_id", F.lit(11))).withColumn("part", F.shiftrightunsigned("h", 64 - bits))
     sizes = hashed.groupBy(*profile, "part").agg(F.count(F.lit(1)).alias("m"))
     before = sizes.withColumn("before", F.sum("m").over(Window.partitionBy(*profile).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).drop("m")
     same = lambda a, b, cs: [a[c].eqNullSafe(b[c]) for c in cs]

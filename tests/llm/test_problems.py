@@ -81,10 +81,45 @@ def test_allocation_meets_quotas_and_prefers_stored_splits():
     assert [sum(o.values()) for o in out] == [700, 200, 100, 3]
     assert all(abs(rows[j] - s * 1030) <= 10 for j, s in splits.SHARES.items())
     assert out[0]["train"] == 700 and out[1]["test"] >= 90
+    # a row may stay beyond its quota where moving it costs more
+    stay = splits.allocate([(1, 900, "train"), (1, 100, "test")], splits.SHARES, deviation=0.5)
+    assert stay[0]["train"] == 900 and stay[1]["test"] == 100
     huge = splits.allocate([(500, 1, "train"), (1, 500, "train")], splits.SHARES)
     assert huge[0]["train"] == 1 and abs(huge[1]["train"] - 300) <= 1
 
 
+def test_allocation_against_every_flow():
+    rng = random.Random(8)
+    names = list(splits.SHARES)
+    for _ in range(40):
+        bundles = [(1, rng.randrange(1, 4), rng.choice([*names, None])) for _ in range(3)]
+        total = sum(n for _, n, _ in bundles)
+        shares = dict(zip(names, (rng.randrange(1, 4) for _ in names)))
+        ways = [[(i, j, n - i - j) for i in range(n + 1) for j in range(n + 1 - i)] for _, n, _ in bundles]
+
+        def cost(out):
+            moved = sum(k for way, (_, _, liked) in zip(out, bundles) if liked for k, j in zip(way, names) if j != liked)
+            return moved + 4.0 * sum(max(0, sum(way[k] for way in out) - shares[j] / sum(shares.values()) * total) for k, j in enumerate(names))
+
+        least = min(cost((a, b, c)) for a in ways[0] for b in ways[1] for c in ways[2])
+        got = [tuple(o[j] for j in names) for o in splits.allocate(bundles, shares)]
+        # the flow is the cheapest; its rounding to whole rows may cost a row of each split
+        assert cost(got) <= least + 4.0 * len(names)
+
+
+def test_allocation_of_many_bundles():
+    import time
+
+    rng = random.Random(6)
+    bundles = [(rng.randrange(1, 5000), rng.randrange(1, 40), rng.choice(["train"] * 6 + ["test", "validation", None])) for _ in range(100_000)]
+    began = time.process_time()
+    out = splits.allocate(bundles, splits.SHARES)
+    assert time.process_time() - began < 10
+    rows = {j: sum(o[j] * b[0] for o, b in zip(out, bundles)) for j in splits.SHARES}
+    total = sum(rows.values())
+    assert all(abs(rows[j] - s * total) <= 5000 for j, s in splits.SHARES.items())
+
+
 # problem 2
 
 
@@ -334,6 +369,10 @@ def test_repeats_are_spread_over_shards(spark, monkeypatch):
     assert max(r["shard"] for r in draws) >= 3 and passes[False] == passes[True] and len(passes[True]) >= 2
     key = lambda r: (r["mix_id"], r["source"], r["doc_id"], r["tokens"], r["place"], r["uses"])
     assert sorted(map(key, mixing.drawn(taken).collect())) == sorted(map(key, taken.collect()))
+    # a total of tokens: each source gives its share of it, as far as its repeats allow
+    some, plan = mixing.chosen(df, targets, total=6000)
+    got = {r["source"]: r["tokens"] for r in mixing.shares(mixing.drawn(some), plan).collect()}
+    assert all(abs(n - 3000) < 40 for n in got.values())
     assert mixing.drawn(mixing.chosen(df.limit(0), targets)[0]).count() == 0
 
 
