@@ -16,6 +16,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often, or inside which lambda, it stands there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def trimmed_lower(c: str | Column) -> Column:
     """Without blanks at the ends, in lower case."""
     return F.lower(F.trim(col(c)))
@@ -84,23 +89,33 @@ def parsed_date(c: str | Column) -> Column:
     x = F.trim(col(c))
     iso = F.regexp_extract(x, r"^(\d{4}-\d{2}-\d{2})(?:$|[T ])", 1)
     slashed = F.when(x.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.concat(F.substring(x, 7, 4), F.lit("-"), F.substring(x, 4, 2), F.lit("-"), F.substring(x, 1, 2)))
-    return F.coalesce(F.try_to_date(F.when(iso != "", iso), "yyyy-MM-dd"), F.try_to_date(slashed, "yyyy-MM-dd"), F.try_to_date(x, "MMMM d, yyyy"), F.try_to_date(x, "d MMMM yyyy"))
+    return F.coalesce(F.try_to_date(F.when(iso != "", iso), "yyyy-MM-dd"), F.try_to_date(slashed, "yyyy-MM-dd"), F.try_to_date(x, "MMMM d, yyyy"), F.try_to_date(x, "MMMM d yyyy"), F.try_to_date(x, "d MMMM yyyy"))
+
+
+def dated(c: str | Column, revised: str | Column) -> Column:
+    """A struct of date and date_kind: the publication date where one is stated, else the day of the revision."""
+    stated = parsed_date(c)
+    fallback = parsed_date(F.regexp_extract(col(revised).cast("string"), r"^(\d{4}-\d{2}-\d{2})", 1))
+    kind = F.when(stated.isNotNull(), "publication_date").when(fallback.isNotNull(), "revision_date")
+    return F.struct(F.coalesce(stated, fallback).alias("date"), kind.alias("date_kind"))
 
 
 def windows(array: str | Column, size: int, stride: int) -> Column:
     """Slices of an array, size long, stride apart; the last may be shorter; none for an empty array."""
-    a = col(array)
-    last = F.greatest(F.lit(0), F.ceil((F.size(a) - size) / F.lit(float(stride))).cast("int"))
-    return F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(a, i * stride + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+    def cut(a: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(a) - size) / F.lit(float(stride))).cast("int"))
+        return F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(a, i * stride + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+
+    return let(col(array), cut)
 
 
 def without_markup(c: str | Column) -> Column:
     """Wiki text as prose: cut at its closing sections, without category and file links, templates, link and
-    emphasis marks and empty lines. Templates are removed from the inside out, four deep."""
+    emphasis marks and empty lines. Templates are removed from the inside out, however deep they are nested."""
     x = F.regexp_replace(col(c), r"(?ims)^==+\s*(?:sources|related news|external links|references|مصادر|المصادر)\s*==+.*", "")
     x = F.regexp_replace(x, r"(?i)\[\[(?:Category|File|Image|تصنيف|ملف):[^\]]*\]\]", "")
-    for _ in range(4):
-        x = F.regexp_replace(x, r"\{\{[^{}]*\}\}", "")
+    # no template is nested deeper than there are openings
+    x = F.aggregate(F.sequence(F.lit(0), F.regexp_count(x, F.lit(r"\{\{"))), x, lambda t, _: F.regexp_replace(t, r"\{\{[^{}]*\}\}", ""))
     x = F.regexp_replace(x, r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1")
     x = F.regexp_replace(x, r"'{2,5}|<[^>]+>|(?m)^=+\s*|\s*=+$", "")
     return F.array_join(F.filter(F.transform(F.split(x, r"\n"), F.trim), lambda y: y != ""), "\n")

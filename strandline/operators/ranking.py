@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import word_key, words
+from strandline.plans.staging import checked, staged
 
 
 def long_tags(df: DataFrame, key: str, tags: Column) -> DataFrame:
@@ -21,17 +22,18 @@ def tfidf(queries: DataFrame, records: DataFrame, query_key: str, query_text: st
     query is fitted together with the records, so N counts it and its own terms have one more df; record
     norms are corrected for that from the shared terms alone. Null texts have no terms.
     """
-    terms = records.select(F.col(key), F.explode(words(text, 2)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # texts are divided into words once: all sums below read this table
+    terms = staged(records.select(F.col(key), F.explode(words(text, 2)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     total = records.select(F.count(F.lit(1)).alias("n"))
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = staged(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     idf = lambda d: F.log((F.col("n") + 2) / (d + 1)) + 1
     weighed = terms.join(df, "term").crossJoin(F.broadcast(total))
     norms = weighed.groupBy(key).agg(F.sum(F.pow(F.col("tf") * idf(F.col("df")), 2)).alias("base"))
     asked = queries.select(F.col(query_key), F.explode(words(query_text, 2)).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    fitted = asked.join(df, "term", "left").crossJoin(F.broadcast(total)).withColumn("idf", idf(F.coalesce("df", F.lit(0)) + 1))
+    fitted = staged(asked.join(df, "term", "left").crossJoin(F.broadcast(total)).withColumn("idf", idf(F.coalesce("df", F.lit(0)) + 1)))
     lengths = fitted.groupBy(query_key).agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("idf"), 2))).alias("query_norm"))
     shared = (
-        terms.join(fitted.select(query_key, "term", "qtf", "idf", "df", "n"), "term")
+        terms.join(checked(fitted), "term")
         .groupBy(query_key, key)
         .agg(
             F.sum(F.col("tf") * F.col("qtf") * F.pow("idf", F.lit(2))).alias("product"),

@@ -182,13 +182,21 @@ def split_crossings(spark: SparkSession, d: str) -> DataFrame:
     return tables.crossing(r, "fingerprint", "split")
 
 
-@_query()
+@_query(
+    "WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),"
+    " r AS (SELECT doc_id, unnest(list_distinct(list_transform(range(0, greatest(len(w) - 3, 0) + 1), lambda i: array_to_string(w[i + 1 : i + 3], ' ')))) AS run FROM w),"
+    " h AS (SELECT doc_id, ('0x' || substr(md5(run), 17, 16))::UBIGINT AS h FROM r), b AS (SELECT doc_id, i, 2 * count(*) FILTER ((h >> i) & 1 = 1) >= count(*) AS bit FROM h, (SELECT unnest(range(64))::UBIGINT AS i) GROUP BY 1, 2),"
+    " s AS (SELECT doc_id, CAST(CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END AS BIGINT) AS s FROM (SELECT doc_id, sum(CASE WHEN bit THEN (1::UBIGINT << i)::HUGEINT ELSE 0 END) AS x FROM b GROUP BY 1)),"
+    " d AS (SELECT DISTINCT s FROM s), e AS (SELECT a.s AS x, b.s AS y FROM d a JOIN d b ON a.s <> b.s AND bit_count(xor(a.s, b.s)) <= 3),"
+    " reach AS (SELECT s AS x, s AS y FROM d UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x), g AS (SELECT x, min(y) AS g FROM reach GROUP BY 1)"
+    " SELECT documents.doc_id, s.s AS signature, g.g AS group_id FROM documents LEFT JOIN s ON s.doc_id = documents.doc_id LEFT JOIN g ON g.x = s.s"
+)
 def simhash_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of documents whose 64-bit similarity hashes differ in at most three bits."""
     return dedupe.simhash_groups(_t(spark, d, "documents"), "doc_id", "text")
 
 
-@_query("WITH r AS (SELECT record_id, trim(published_at) AS x FROM domain_corpus_sample) SELECT record_id, coalesce(try_strptime(regexp_extract(x, '^(\\d{4}-\\d{2}-\\d{2})(?:$|[T ])', 1), '%Y-%m-%d')::DATE, try_strptime(CASE WHEN regexp_matches(x, '^\\d{2}/\\d{2}/\\d{4}$') THEN x END, '%d/%m/%Y')::DATE) AS published FROM r")
+@_query("WITH r AS (SELECT record_id, trim(published_at) AS x FROM domain_corpus_sample) SELECT record_id, coalesce(try_strptime(regexp_extract(x, '^(\\d{4}-\\d{2}-\\d{2})(?:$|[T ])', 1), '%Y-%m-%d')::DATE, try_strptime(CASE WHEN regexp_matches(x, '^\\d{2}/\\d{2}/\\d{4}$') THEN x END, '%d/%m/%Y')::DATE, try_strptime(x, '%B %d, %Y')::DATE, try_strptime(x, '%B %d %Y')::DATE, try_strptime(x, '%d %B %Y')::DATE) AS published FROM r")
 def published_dates(spark: SparkSession, d: str) -> DataFrame:
     """The publication date of each record, whatever format it has."""
     return _t(spark, d, "domain_corpus_sample").select("record_id", T.parsed_date("published_at").alias("published"))
@@ -261,10 +269,10 @@ def unknown_names(spark: SparkSession, d: str) -> DataFrame:
     return linking.unknown_names(ex, known, "example_id", "text")
 
 
-@_query(f"WITH {_EX}, {_MENTIONS}, {_ALIAS}, l AS (SELECT entity_id, mention, sum(CASE WHEN language = 'en' THEN 3 ELSE 1 END) AS w, count(*) AS c FROM m JOIN ex USING (example_id) JOIN alias ON alias_key = {_WK.format('mention')} GROUP BY 1, 2) SELECT entity_id, max(w)::BIGINT AS weight, sum(c)::BIGINT AS n FROM l GROUP BY 1")
+@_query(f"WITH {_EX}, {_MENTIONS}, {_ALIAS}, l AS (SELECT entity_id, mention, sum(CASE WHEN language = 'en' THEN 3 ELSE 1 END) AS w, count(*) AS c FROM m JOIN ex USING (example_id) JOIN alias ON alias_key = {_WK.format('mention')} GROUP BY 1, 2) SELECT entity_id, arg_min(mention, (-w, mention)) AS mention, max(w)::BIGINT AS weight, sum(c)::BIGINT AS n FROM l GROUP BY 1")
 def entity_weights(spark: SparkSession, d: str) -> DataFrame:
     """The weight of each entity's most used name, English uses counting three times, and all its uses."""
-    return _named_entities(spark, d).drop("mention")
+    return _named_entities(spark, d)
 
 
 def _named_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -327,7 +335,7 @@ def pooled_articles(spark: SparkSession, d: str) -> DataFrame:
     return sampling.pooled(sampling.group_ranks(r, "q", [F.desc("score"), F.asc("result_id")], "p"), "user_id", "article_id", "p", "method")
 
 
-@_query("SELECT user_id, event_id, round(running, 4) AS running FROM (SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM events) WHERE running <= 250")
+@_query("SELECT user_id, event_id, round(running, 4) AS running FROM (SELECT *, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS running FROM events) WHERE running <= 250")
 def running_budget(spark: SparkSession, d: str) -> DataFrame:
     """A user's events as long as their values sum to no more than 250."""
     return sampling.running_total(_t(spark, d, "events"), "user_id", [F.asc("ts"), F.asc("event_id")], "value", 250).select("user_id", "event_id", F.round("running", 4).alias("running"))
@@ -372,7 +380,7 @@ def corpus_manifest(spark: SparkSession, d: str) -> DataFrame:
     return sums.select(F.coalesce("source", F.lit("all")).alias("source"), F.coalesce("lang", F.lit("all")).alias("lang"), "n", "n_chars", "no_domain")
 
 
-@_query()
+@_query("WITH r AS (SELECT source, sha256(concat_ws(chr(31), coalesce(doc_id::VARCHAR, '\\N'), coalesce(domain::VARCHAR, '\\N'), coalesce(lang::VARCHAR, '\\N'), coalesce(n_chars::VARCHAR, '\\N'), coalesce(published_at::VARCHAR, '\\N'), coalesce(source::VARCHAR, '\\N'), coalesce(text::VARCHAR, '\\N'), coalesce(title::VARCHAR, '\\N'))) AS h FROM documents), p AS (SELECT source, count(*) AS n_rows, " + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::VARCHAR AS s{i}" for i in range(4)) + " FROM r GROUP BY 1) SELECT source, n_rows, sha256(s0 || '-' || s1 || '-' || s2 || '-' || s3) AS digest FROM p")
 def table_digests(spark: SparkSession, d: str) -> DataFrame:
     """A digest of each source's documents."""
     return tables.table_digest(_t(spark, d, "documents"), "source")
@@ -446,14 +454,6 @@ def article_contents(spark: SparkSession, d: str) -> DataFrame:
     return r.select("article_id", R.distinct_parts("title", "body").alias("content")).distinct()
 
 
-@_query(f"WITH {_EX}, {_TAGS}, k AS (SELECT example_id, string_agg(norm, '|' ORDER BY norm) AS names, count(*) AS n FROM (SELECT DISTINCT example_id, norm FROM tags WHERE category <> 'topics') GROUP BY 1 HAVING count(*) >= 2) SELECT names, count(*) AS n_examples, min(example_id) AS first_id FROM k GROUP BY 1 HAVING count(*) > 1")
-def same_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Records that name just the same two or more entities."""
-    tags = ranking.long_tags(_examples(spark, d), "example_id", _tags()).filter(F.col("category") != "topics")
-    sets = tags.groupBy("example_id").agg(F.array_sort(F.collect_set("norm")).alias("s")).filter(F.size("s") >= 2)
-    return sets.groupBy(F.array_join("s", "|").alias("names")).agg(F.count(F.lit(1)).alias("n_examples"), F.min("example_id").alias("first_id")).filter("n_examples > 1")
-
-
 @_query("WITH m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2), v AS (SELECT label, max(n) AS n, sqrt(sum(m * m)) AS norm FROM m GROUP BY 1) SELECT m.label, v.n, i AS dim, round(m / norm, 5) AS x FROM m JOIN v USING (label)")
 def label_centres(spark: SparkSession, d: str) -> DataFrame:
     """The mean vector of each label at length one, a row for each dimension."""

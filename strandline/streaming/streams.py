@@ -20,14 +20,15 @@ def source(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFram
     return reader.parquet(path)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Runs a stream over what is there and reads its result.
 
-    Batches go to files under the shared folder; a restart continues after the last batch that was written.
-    In complete mode the last batch is the result.
+    Batches and progress go to the folder given: a later call with the same folder, also of another
+    application, takes only files that are new since then, and reads the old batches with the new. Without
+    one, a folder of this call's own under the shared folder. In complete mode the last batch is the result.
     """
     spark = stream.sparkSession
-    folder = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    folder = (folder or f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}").rstrip("/")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number if mode == 'append' else 0}")
@@ -47,9 +48,9 @@ def sessions(events: DataFrame, time: str, gap: str, by: str) -> DataFrame:
     return events.groupBy(by, F.session_window(time, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.max(time).alias("last")).select(by, "first", "last", "n")
 
 
-def ingest(stream: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+def ingest(stream: DataFrame, keys: list[str], order: str, name: str, folder: str | None = None) -> DataFrame:
     """The last row of each key after every batch of a stream: appended batches, merged when they are read."""
-    return latest(drained(stream, name), keys, F.col(order))
+    return latest(drained(stream, name, folder=folder), keys, F.col(order))
 
 
 def once(stream: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
