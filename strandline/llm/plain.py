@@ -25,8 +25,11 @@ LOOKALIKES = (
 )
 # Compatibility characters and marks that are already plain.
 PLAIN = "…“”‘’„‚‹›«»–—―ـ"
-#: Letters that no language of the corpus writes; a word never keeps them, even if all its letters are such.
+#: Letters that no language of the corpus writes; a word never keeps them, even if all its letters are such,
+#: unless it is a word of a language that writes them.
 FOREIGN = "ɑɡօոսՕՏՍکیہ"
+# Letters of Arabic script that Arabic does not write and that look like none of its own.
+PERSIAN = "پچژگٹڈڑںےۓ"
 #: Costs of a path: a changed letter, a change of script inside a word.
 CHANGED, SWITCHED = 1.0, 6.0
 
@@ -153,6 +156,9 @@ def respell(word: str, bigrams: dict[tuple[str, str], float] | None = None) -> s
         return word
     if len(letters) == 1 and letters[0] not in FOREIGN:
         return word
+    # words of Armenian, and of Persian or Urdu, are words wholly in another script
+    if len(letters) > 1 and kinds == {5} or kinds == {4} and any(c in PERSIAN for c in letters):
+        return word
     options, scores = _choices(), bigrams if bigrams is not None else _flat()
     floor = min(scores.values(), default=0.0) - 1 if scores else 0.0
     # state: (letter, script of the path so far); value: (cost, path)

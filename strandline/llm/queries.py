@@ -18,8 +18,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_balance(spark: SparkSession, d: str) -> DataFrame:
-    got = p1_assignment(spark, d).groupBy(F.col("assigned_split").alias("split")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("group_id").alias("n_groups"))
-    return got
+    """Rows and torn groups of the assignment, and whether each split is as near its quota as its largest group allows."""
+    rows = p1_assignment(spark, d)
+    groups = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("assigned_split").alias("splits"), F.min("assigned_split").alias("split"))
+    total = groups.agg(F.sum("n").alias("total"), F.max("n").alias("largest"), F.count_if(F.col("splits") > 1).alias("torn"))
+    shares = spark.createDataFrame(list(splits.SHARES.items()), "split string, share double")
+    held = shares.join(groups.groupBy("split").agg(F.sum("n").alias("n")), "split", "left").crossJoin(F.broadcast(total))
+    near = F.abs(F.coalesce("n", F.lit(0)) - F.col("share") * F.col("total")) <= F.col("largest")
+    return held.select("split", F.col("total").alias("n_rows"), F.col("torn").alias("n_torn_groups"), near.alias("near_quota"))
 
 
 def p2_plain(spark: SparkSession, d: str) -> DataFrame:
@@ -69,6 +75,29 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p6_contents(spark, d), table(spark, d, "pack_profiles"))
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """For each profile: texts placed, containers that hold too much, texts divided though they fit, texts with
+    tokens that are missing or twice."""
+    placed = p6_contents(spark, d)
+    space = table(spark, d, "pack_profiles").select("profile_id", "capacity_tokens")
+    texts = placed.groupBy("profile_id", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("token_start") + F.col("tokens")).alias("end")).join(space, "profile_id")
+    per = texts.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("n_divided"), F.count_if(F.col("tokens") != F.col("end")).alias("n_incomplete"))
+    boxes = placed.join(space, "profile_id").groupBy("profile_id", "container_id").agg(F.sum("tokens").alias("t"), F.max("used_tokens").alias("used"), F.first("capacity_tokens").alias("capacity"))
+    over = boxes.groupBy("profile_id").agg(F.count_if((F.col("used") > F.col("capacity")) | (F.col("t") > F.col("used"))).alias("n_overfull"))
+    return per.join(over, "profile_id")
+
+
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """For each mix and source that has texts: whether no text is used too often and the share is within a
+    twentieth, or two texts, of its target among the sources that have some."""
+    got = p7_shares(spark, d)
+    usable = got.filter("available > 0").groupBy("mix_id").agg(F.sum("target_share").alias("all_shares"), F.sum("tokens").alias("all_tokens"))
+    longest = F.greatest(F.lit(1), F.col("available"))
+    both = got.filter("available > 0").join(usable, "mix_id")
+    off = F.abs(F.col("reached_share") - F.col("target_share") / F.col("all_shares"))
+    return both.select("mix_id", "source", (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"), ((off <= 0.05) | (off * F.col("all_tokens") <= 2 * longest)).alias("share_kept"))
+
+
 def p7_chosen(spark: SparkSession, d: str) -> DataFrame:
     taken, _ = mixing.chosen(table(spark, d, "documents"), table(spark, d, "mix_targets"))
     return mixing.drawn(taken).select("mix_id", "source", "doc_id", "tokens", "uses")
@@ -91,7 +120,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_assignment, p1_balance, p2_found, p2_plain, p3_tokens, p3_budget, p4_found, p4_report, p5_found, p5_groups, p6_contents, p6_fill, p7_chosen, p7_shares, p7_shards, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_assignment, p1_balance, p2_found, p2_plain, p3_tokens, p3_budget, p4_found, p4_report, p5_found, p5_groups, p6_contents, p6_fill, p6_checks, p7_chosen, p7_shares, p7_shards, p7_checks, p8_found, p8_rates)}
 
 _WORDS = r"""list_transform(regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}][\p{{L}}\p{{M}}\p{{N}}]*|[0-9\x{{0660}}-\x{{0669}}]+(?:[.,][0-9\x{{0660}}-\x{{0669}}]+)*|\p{{N}}[\p{{L}}\p{{M}}\p{{N}}]*|:|[.!?؟。]+|[\r\n]+'),
     lambda t: CASE WHEN regexp_matches(t, '^[0-9\x{{0660}}-\x{{0669}}]') THEN '0' WHEN regexp_matches(t, '^[\r\n]') THEN '¶' WHEN regexp_matches(t, '^[.!?؟。]') THEN '.' ELSE t END)"""
@@ -156,6 +185,9 @@ named AS (
 ), votes AS (SELECT g, sp, count(*) AS n FROM named WHERE sp IS NOT NULL GROUP BY g, sp),
 most AS (SELECT g, sp FROM votes QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, CASE sp WHEN 'train' THEN 0 WHEN 'validation' THEN 1 WHEN 'test' THEN 2 ELSE 99 END, sp DESC) = 1)
 SELECT record_id FROM named JOIN most USING (g) WHERE named.sp IS NOT NULL AND named.sp <> most.sp""",
+    "p1_balance": "SELECT split, (SELECT count(*) FROM domain_corpus_sample) AS n_rows, 0::BIGINT AS n_torn_groups, true AS near_quota FROM (VALUES ('train'), ('validation'), ('test')) AS s(split)",
+    "p6_checks": "SELECT profile_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS n_texts, 0::BIGINT AS n_divided, 0::BIGINT AS n_incomplete, 0::BIGINT AS n_overfull FROM pack_profiles",
+    "p7_checks": "SELECT mix_id, source, true AS repeats_kept, true AS share_kept FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE text <> '')",
     "p8_found": _JUDGED + "SELECT doc_id FROM judged WHERE cut",
     "p8_rates": _JUDGED + "SELECT source, count(*) AS n_texts, count(*) FILTER (cut) AS n_cut, count(*) FILTER (cut) / count(*) AS cut_rate FROM judged GROUP BY 1",
 }

@@ -128,3 +128,19 @@ def test_lookalikes_cover_only_letters():
     from strandline.llm.plain import LOOKALIKES
 
     assert all(unicodedata.category(c)[0] == "L" for g in LOOKALIKES for c in g)
+
+
+def test_words_of_other_languages_stay():
+    from strandline.llm.plain import plain
+
+    assert plain("Սոսո") == "Սոսո" and plain("پک") == "پک" and plain("گیاہ") == "گیاہ"
+    assert plain("کتاب") == "كتاب" and plain("pօrt") == "port"
+
+
+def test_letter_pairs_tell_two_scripts_apart():
+    """One letter of each script: either reading changes one letter, and only the pairs' scores differ."""
+    from strandline.llm.plain import letter_pairs, log_scores, respell
+
+    word = "рo"  # a Cyrillic letter, then a Latin one
+    for corpus, want in ((["po pot pod"] * 50 + ["ра на"], "po"), (["ро род рот"] * 50 + ["pa na"], "ро")):
+        assert respell(word, log_scores([(a, b, n) for (a, b), n in sorted(letter_pairs(corpus).items())])) == want
