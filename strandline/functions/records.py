@@ -25,6 +25,13 @@ def labelled_parts(**parts: str) -> Column:
     return F.array_join(F.transform(kept, lambda x: F.concat(x["k"], F.lit(": "), x["v"])), " | ")
 
 
+def training_text(title: str | Column, text: str | Column) -> Column:
+    """The text that a document is trained on: its title on a line of its own, a blank line, its text; null
+    without a text."""
+    head = F.when(F.trim(col(title)) != "", F.concat(F.lit("Title: "), F.trim(col(title)), F.lit("\n\n"))).otherwise("")
+    return F.when(F.trim(col(text)) != "", F.concat(head, F.trim(col(text))))
+
+
 def query_text(c: str | Column) -> Column:
     """The prefixed form in which an interest is encoded; null if it is blank."""
     x = F.trim(col(c))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.tables import latest
+
 
 def errors(*checks: tuple[str, Column]) -> Column:
     """The names of the checks that do not hold; a check that is null does not hold."""
@@ -20,12 +22,19 @@ def http_url(c: str) -> Column:
     return F.col(c).rlike(r"^https?://[^/\s:?#]+")
 
 
+# A day with or without a time and its zone; the states of a review.
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+STATES = ("approved", "pending", "rejected")
+
+
 def document_errors(df: DataFrame) -> Column:
-    """Empty texts, addresses without host, dates that are none, and null flags of a corpus document."""
+    """Empty texts, addresses without host, times that are none, states of no known name, and null flags of a
+    corpus document."""
     names = ("document_id", "source_id", "source_url", "published_at", "language", "title", "text", "review_status")
     checks = [(f"{c} is empty", filled(c)) for c in names]
     checks.append(("source_url is no address", http_url("source_url")))
-    checks.append(("published_at is no ISO date", F.col("published_at").rlike(r"^\d{4}-\d{2}-\d{2}")))
+    checks.append(("published_at is no ISO time", F.col("published_at").rlike(ISO_TIME) & F.try_to_date(F.substring("published_at", 1, 10), "yyyy-MM-dd").isNotNull()))
+    checks.append(("review_status is of no known name", F.col("review_status").isin(*STATES)))
     checks.append(("allowed_for_training is null", F.col("allowed_for_training").isNotNull()))
     return errors(*checks)
 
@@ -100,3 +109,16 @@ def filter_errors(filters: str, categories: tuple[str, ...]) -> Column:
 def disagreeing(df: DataFrame, stored: str, recomputed: Column) -> DataFrame:
     """The rows whose stored value is not what it is when it is worked out again, with that as "recomputed"."""
     return df.withColumn("recomputed", recomputed).filter(~F.col(stored).eqNullSafe(F.col("recomputed")))
+
+
+def quarantined(rows: DataFrame, attempts: DataFrame, key: str, order: Column, found: str = "errors") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(valid rows, the last invalid row of each key, the attempts with those of invalid rows rejected).
+
+    An accepted attempt whose key has an invalid row and no valid one becomes rejected and keeps what it was as
+    original_outcome; others have null there.
+    """
+    good, bad = divided(rows, found)
+    last = latest(bad, [key], order)
+    wrong = last.select(key).join(good.select(key).distinct(), key, "left_anti").withColumn("_bad", F.lit(True))
+    marked = attempts.join(wrong, key, "left").withColumn("_hit", F.coalesce(F.col("_bad"), F.lit(False)) & (F.col("outcome") == "accepted"))
+    return good, last, marked.withColumns({"original_outcome": F.when(F.col("_hit"), F.col("outcome")), "outcome": F.when(F.col("_hit"), "rejected").otherwise(F.col("outcome"))}).drop("_bad", "_hit")

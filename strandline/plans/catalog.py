@@ -215,7 +215,7 @@ def url_hosts(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy(F.regexp_extract("source_url", r"^https?://([^/:?#]+)", 1).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("document_id").alias("n_documents"))
 
 
-@_query("SELECT error, count(*) AS n FROM (SELECT unnest([" + ", ".join(f"CASE WHEN coalesce(length(trim({c})), 0) = 0 THEN '{c} is empty' END" for c in ("document_id", "source_id", "source_url", "published_at", "language", "title", "text", "review_status")) + ", CASE WHEN NOT coalesce(regexp_matches(source_url, '^https?://[^/\\s:?#]+'), false) THEN 'source_url is no address' END, CASE WHEN NOT coalesce(regexp_matches(published_at, '^\\d{4}-\\d{2}-\\d{2}'), false) THEN 'published_at is no ISO date' END, CASE WHEN allowed_for_training IS NULL THEN 'allowed_for_training is null' END]) AS error FROM domain_corpus_sample) WHERE error IS NOT NULL GROUP BY 1")
+@_query("SELECT error, count(*) AS n FROM (SELECT unnest([" + ", ".join(f"CASE WHEN coalesce(length(trim({c})), 0) = 0 THEN '{c} is empty' END" for c in ("document_id", "source_id", "source_url", "published_at", "language", "title", "text", "review_status")) + ", CASE WHEN NOT coalesce(regexp_matches(source_url, '^https?://[^/\\s:?#]+'), false) THEN 'source_url is no address' END, CASE WHEN NOT coalesce(regexp_matches(published_at, '" + validate.ISO_TIME + "') AND try_strptime(substr(published_at, 1, 10), '%Y-%m-%d') IS NOT NULL, false) THEN 'published_at is no ISO time' END, CASE WHEN NOT coalesce(review_status IN ('approved', 'pending', 'rejected'), false) THEN 'review_status is of no known name' END, CASE WHEN allowed_for_training IS NULL THEN 'allowed_for_training is null' END]) AS error FROM domain_corpus_sample) WHERE error IS NOT NULL GROUP BY 1")
 def document_errors(spark: SparkSession, d: str) -> DataFrame:
     """How many records fail each check."""
     r = _t(spark, d, "domain_corpus_sample")
@@ -261,7 +261,13 @@ def lexical_candidates(spark: SparkSession, d: str) -> DataFrame:
     return linking.lexical_candidates(linking.mentions(_examples(spark, d), "example_id", "text"), _t(spark, d, "entities"), "mention")
 
 
-@_query()
+@_query(
+    f"WITH {_EX}, {_ALIAS}, {_LINKS}, t AS (SELECT example_id, regexp_replace(text, '([A-Za-z0-9_-]+)', chr(1) || '\\1' || chr(2), 'g') AS t FROM ex WHERE text IS NOT NULL),"
+    " s AS (SELECT example_id, regexp_extract_all(t, '\\x01[A-Z]{2,8}(?:-[A-Z0-9]{1,8})+\\x02') || regexp_extract_all(t, '\\x01[A-Z]{3,8}\\x02') || regexp_extract_all(t, '(?:\\x01[A-Z][A-Za-z]+\\x02\\s+){1,3}\\x01[A-Z][A-Za-z]+\\x02') AS v FROM t),"
+    f" f AS (SELECT example_id, pos, value, {_WK.format('value')} AS name_key FROM (SELECT example_id, unnest(range(len(v))) AS pos, trim(replace(replace(unnest(v), chr(1), ''), chr(2), '')) AS value FROM s)),"
+    " n AS (SELECT example_id, name_key, arg_max(value, pos) AS value FROM f WHERE length(name_key) >= 3 GROUP BY 1, 2), k AS (SELECT DISTINCT l.example_id, a.alias_key FROM links l JOIN alias a USING (entity_id))"
+    " SELECT example_id, name_key, value FROM n WHERE NOT EXISTS (FROM k WHERE k.example_id = n.example_id AND (contains(' ' || n.name_key || ' ', ' ' || k.alias_key || ' ') OR contains(' ' || k.alias_key || ' ', ' ' || n.name_key || ' ')))"
+)
 def unknown_names(spark: SparkSession, d: str) -> DataFrame:
     """Names by their shape that no catalogue entity of the text explains."""
     ex, ents = _examples(spark, d), _t(spark, d, "entities")

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions import records
 from strandline.functions import text as T
 from strandline.operators import index, linking, metrics, ranking, sampling, semantic, tables, validate
 from strandline.plans.catalog import _ALIAS, _COVER, _EX, _FP, _LINKS, _MENTIONS, _TAGS, _TFIDF, _WK, KINDS, _examples, _query, _similarities, _t, _tags, _want
 from strandline.plans.staging import shared_dir, staged
 from strandline.sources import readers
+from strandline.streaming import streams
 
 # SQL: the different runs of three characters of a name, a blank before and after it
 _RUNS = "list_distinct(list_transform(range(1, greatest(length({0}), 1) + 1), lambda i: substr(' ' || {0} || ' ', i, 3)))"
@@ -650,3 +652,44 @@ def queue_places(spark: SparkSession, d: str) -> DataFrame:
     """The place of each record in its split's queue: most terms of the domain first, then by a hash."""
     r = _t(spark, d, "domain_corpus_sample").select("record_id", F.lower(F.trim("split")).alias("split"), F.coalesce(F.regexp_count(F.lower("text"), F.lit("missile|drone|radar|minister|border")), F.lit(0)).alias("hits"), F.sha2(F.col("record_id").cast("string"), 256).alias("h"))
     return sampling.group_ranks(r, "split", [F.desc("hits"), F.asc("h"), F.asc("record_id")], "place").drop("h")
+
+
+@_query(f"WITH c AS (SELECT record_id, document_id, {_FP} AS fp FROM domain_corpus_sample), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY record_id) = 1) SELECT record_id FROM c WHERE NOT EXISTS (FROM f WHERE f.document_id = c.document_id AND f.fp = c.fp)")
+def stale_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose document is held, from its first delivery, with another content: what was kept is of no use."""
+    c = _corpus(spark, d).select("record_id", "document_id", "fingerprint")
+    held = tables.latest(c, ["document_id"], -F.col("record_id"))
+    return tables.misses(c, held, ["document_id", "fingerprint"]).select("record_id")
+
+
+@_query(f"WITH {_EX}, {_MENTIONS}, s AS (SELECT DISTINCT mention AS surface, {_WK.format('mention')} AS k FROM m WHERE trim({_WK.format('mention')}) <> ''), t AS (SELECT doc_id, ' ' || {_WK.format('text')} || ' ' AS t FROM documents) SELECT surface, count(*) AS n_documents FROM s JOIN t ON contains(t, ' ' || k || ' ') GROUP BY 1")
+def surface_documents(spark: SparkSession, d: str) -> DataFrame:
+    """In how many documents each labelled name stands as a whole phrase."""
+    names = linking.mentions(_examples(spark, d), "example_id", "text").select("mention").distinct()
+    dictionary = names.select(F.col("mention").alias("entity_id"), F.lit(None).cast("string").alias("type"), F.col("mention").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"))
+    found = linking.phrase_matches(_t(spark, d, "documents"), dictionary, "doc_id", "text")
+    return found.groupBy(F.col("entity_id").alias("surface")).agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+@_query("SELECT doc_id, CASE WHEN trim(text) <> '' THEN CASE WHEN trim(title) <> '' THEN 'Title: ' || trim(title) || chr(10) || chr(10) ELSE '' END || trim(text) END AS content FROM documents")
+def training_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The text that each document is trained on."""
+    return _t(spark, d, "documents").select("doc_id", records.training_text("title", "text").alias("content"))
+
+
+@_query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_once(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's kinds of events, once each, from a stream."""
+    stream = streams.source(spark, f"{d}/events.parquet").withColumn("kind", F.concat_ws(":", "user_id", "event_type")).select("user_id", "event_type", "kind", "ts")
+    return streams.drained(streams.once(stream, "kind", "ts"), "once").select("user_id", "event_type")
+
+
+_BAD_LABELS = " OR ".join(f"labels.{k} IS NULL" for k in _KEYS)
+
+
+@_query(f"SELECT example_id, split, CASE WHEN bad THEN 'rejected' ELSE 'accepted' END AS outcome, CASE WHEN bad THEN 'accepted' END AS original_outcome FROM (SELECT example_id, split, bool_and({_BAD_LABELS}) OVER (PARTITION BY example_id) AS bad FROM extraction_examples)")
+def quarantined_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Examples as accepted attempts, of which those with malformed labels are rejected."""
+    e = _t(spark, d, "extraction_examples")
+    rows = e.select("example_id", "created_at", validate.errors(*[(f"{k} is missing", F.col(f"labels.{k}").isNotNull()) for k in _KEYS]).alias("errors"))
+    return validate.quarantined(rows, e.select("example_id", "split", F.lit("accepted").alias("outcome")), "example_id", F.col("created_at"))[2]

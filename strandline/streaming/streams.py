@@ -55,4 +55,4 @@ def ingest(stream: DataFrame, keys: list[str], order: str, name: str, folder: st
 
 def once(stream: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
     """Each key's first row; a key that comes again within the watermark is dropped."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])

@@ -214,3 +214,15 @@ def test_dates_and_nested_templates(spark):
     assert [(str(r["x"]["date"]), r["x"]["date_kind"]) for r in df.select(T.dated("a", "b").alias("x")).collect()] == [("2024-03-05", "publication_date"), ("2023-01-02", "revision_date"), ("None", None)]
     deep = "a " + "{{x|" * 7 + "y" + "}}" * 7 + " b"
     assert spark.createDataFrame([(deep,), (None,)], "t string").select(T.without_markup("t")).collect()[0][0] == "a  b"
+
+
+def test_quarantine_and_training_text(spark):
+    rows = spark.createDataFrame([("a", 1, ["x"]), ("a", 2, ["y"]), ("b", 1, ["z"]), ("b", 2, []), ("c", 1, [])], "k string, o int, errors array<string>")
+    attempts = spark.createDataFrame([("a", "accepted"), ("a", "failed"), ("b", "accepted"), ("c", "accepted"), ("n", None)], "k string, outcome string")
+    good, last, after = validate.quarantined(rows, attempts, "k", F.col("o"))
+    assert sorted(r["k"] for r in good.collect()) == ["b", "c"] and {r["k"]: r["errors"] for r in last.collect()} == {"a": ["y"], "b": ["z"]}
+    assert sorted(map(str, ((r["k"], r["outcome"], r["original_outcome"]) for r in after.collect()))) == sorted(map(str, [("a", "rejected", "accepted"), ("a", "failed", None), ("b", "accepted", None), ("c", "accepted", None), ("n", None, None)]))
+    from strandline.functions import records
+
+    texts = spark.createDataFrame([(" T ", "x "), (None, "x"), ("T", " "), ("T", None)], "a string, b string")
+    assert [r[0] for r in texts.select(records.training_text("a", "b")).collect()] == ["Title: T\n\nx", "x", None, None]

@@ -145,7 +145,7 @@ def test_document_errors(spark):
     good = ("d", "s", "https://a.example/x", "2024-01-01T00:00:00Z", "en", "t", "x", "approved", True)
     df = spark.createDataFrame([good, ("d", " ", "ftp://a", "01/02/2024", "en", "t", None, "approved", None)], schema)
     valid, invalid = validate.divided(df.withColumn("errors", validate.document_errors(df)))
-    assert valid.count() == 1 and set(invalid.first()["errors"]) == {"source_id is empty", "text is empty", "source_url is no address", "published_at is no ISO date", "allowed_for_training is null"}
+    assert valid.count() == 1 and set(invalid.first()["errors"]) == {"source_id is empty", "text is empty", "source_url is no address", "published_at is no ISO time", "allowed_for_training is null"}
 
 
 def test_threshold_sweep(spark):

@@ -92,3 +92,15 @@ def test_streams_over_several_files(spark, tmp_path):
     last = streams.ingest(streams.source(spark, str(tmp_path / "e")).select("user_id", "ts", "value"), ["user_id"], "ts", "l").collect()
     assert {(r["user_id"], r["value"]) for r in last} == {(1, 2.0), (2, 3.0)}
     assert streams.sessions(df, "ts", "30 minutes", "user_id").count() == 3
+
+
+def test_once_and_manifests(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:10"), (1, "2024-01-01 00:20:00"), (2, "2024-01-01 00:00:00"), (None, "2024-01-01 00:00:00"), (None, "2024-01-01 00:01:00")]
+    spark.createDataFrame(rows, "k int, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "e"))
+    got = streams.drained(streams.once(streams.source(spark, str(tmp_path / "e")), "k", "ts"), "o").collect()
+    assert sorted(str(r["k"]) for r in got) == ["1", "2", "None"]
+    for run in ("a", "b"):
+        (tmp_path / "runs" / run).mkdir(parents=True)
+        (tmp_path / "runs" / run / "manifest.json").write_text(json.dumps({"name": run, "extra": 1}))
+    got = readers.manifests(spark, str(tmp_path / "runs" / "*" / "manifest.json"), "name string").collect()
+    assert sorted((r["name"], r["file"].rsplit("/", 2)[1]) for r in got) == [("a", "a"), ("b", "b")]
