@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from strandline.llm.tokens import TOKENIZER, token_count
 from strandline.plans.staging import staged
 
-#: Texts that one task packs.
-ITEMS = 4_000
+#: Texts that one task packs, and parts at most: beyond that, parts grow.
+ITEMS, PARTS = 4_000, 50_000
 _PLACED = "profile_id string, container_id string, position int, doc_id long, source string, piece int, token_start long, tokens int, used_tokens int, unused_tokens int"
 
 
@@ -76,7 +76,7 @@ def contents(documents: DataFrame, profiles: DataFrame, key: str = "doc_id", tex
     items = staged(counted.filter("tokens > 0"))
     # a line of settings for each profile: the table is a configuration, not data
     settings = [(r["profile_id"], r["capacity_tokens"], r["separator_tokens"] or 0) for r in profiles.filter("capacity_tokens > 0").select("profile_id", "capacity_tokens", "separator_tokens").orderBy("profile_id").collect()]
-    parts = max(1, -(-items.count() // ITEMS))
+    parts = max(1, min(PARTS, -(-items.count() // ITEMS)))
     items = items.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     amounts = staged(items.groupBy("source", "part").agg(F.sum("tokens").alias("tokens")))
     shares = amounts.groupBy("source").agg(F.sum("tokens").alias("of_source")).withColumn("share", F.col("of_source") / F.sum("of_source").over(Window.partitionBy(F.lit(1))))
