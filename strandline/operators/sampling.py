@@ -95,3 +95,25 @@ def order_changes(ranked: DataFrame, by: str, method: str, key: str, position: s
     listed = lambda m: F.transform(F.array_sort(F.collect_list(F.when(F.col(method) == m, F.struct("_r", key)))), lambda x: x[key])
     both = top.groupBy(by).agg(listed(one).alias("before"), listed(other).alias("after"))
     return both.select(by, "before", "after", F.when((F.size("before") == k) & (F.size("after") == k), F.col("before") != F.col("after")).alias("changed"))
+
+
+def session_runs(df: DataFrame, by: str, time: str, gap_seconds: int) -> DataFrame:
+    """(by, first, last, n): runs of a group's rows with shorter pauses than the gap, for groups of any size.
+
+    Rows are sorted over all tasks; each part's first row looks back at the last row of the parts before it, and
+    runs are numbered by sums over parts. Rows of a null time are left out; works on tables (streams have windows).
+    """
+    kept = _sorted_parts(df.select(by, time).filter(F.col(time).isNotNull()), by, [F.asc(time)])
+    earlier = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = kept.groupBy(by, "_part").agg(F.max(time).alias("_end"))
+    before = ends.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), F.max("_end").over(earlier).alias("_before"))
+    joined = kept.join(before, kept[by].eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p"))).drop("_by", "_p")
+    last = F.coalesce(F.lag(time).over(Window.partitionBy(by, "_part").orderBy("_row")), F.col("_before"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    starts = joined.withColumn("_starts", F.coalesce(micros(F.col(time)) - micros(last) >= gap_seconds * 1_000_000, F.lit(True)).cast("long"))
+    marked = staged(starts.select(by, time, "_part", "_row", "_starts"))
+    counts = marked.groupBy(by, "_part").agg(F.sum("_starts").alias("_c"))
+    offsets = counts.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_offset"))
+    inside = F.sum("_starts").over(Window.partitionBy(by, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = marked.withColumn("_in", inside).join(offsets, marked[by].eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
+    return numbered.groupBy(by, (F.col("_offset") + F.col("_in")).alias("_run")).agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")

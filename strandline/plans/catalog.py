@@ -429,7 +429,7 @@ def stream_latest(spark: SparkSession, d: str) -> DataFrame:
 @_query("WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, s.s")
 def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Runs of a user's events with pauses under half an hour (an extension)."""
-    return streams.sessions(_t(spark, d, "events"), "ts", "30 minutes", "user_id")
+    return sampling.session_runs(_t(spark, d, "events"), "user_id", "ts", 30 * 60)
 
 
 @_query("SELECT n_name, count(DISTINCT o_orderkey) AS n_orders, round(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))), 2)::DOUBLE AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")

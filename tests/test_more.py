@@ -226,3 +226,21 @@ def test_quarantine_and_training_text(spark):
 
     texts = spark.createDataFrame([(" T ", "x "), (None, "x"), ("T", " "), ("T", None)], "a string, b string")
     assert [r[0] for r in texts.select(records.training_text("a", "b")).collect()] == ["Title: T\n\nx", "x", None, None]
+
+
+def test_sessions_of_a_hot_group(spark):
+    rng, t, times = random.Random(3), 0, []
+    for _ in range(300):
+        t += rng.choice([1, 5, 9, 10, 30])
+        times.append(t)
+    rows = [("hot", x) for x in times] + [(None, 5), (None, 6), ("x", 1), ("x", None)]
+    df = spark.createDataFrame(rows, "g string, s int").select("g", F.timestamp_seconds("s").alias("t")).repartition(6)
+    want, start = [], times[0]
+    for a, b in zip(times, times[1:] + [10**6]):
+        if b - a >= 10:
+            want.append((start, a))
+            start = b
+    got = [(r["g"], int(r["first"].timestamp()), int(r["last"].timestamp()), r["n"]) for r in sampling.session_runs(df, "g", "t", 10).collect()]
+    assert sorted((a, b) for g, a, b, _ in got if g == "hot") == want and sum(n for g, *_, n in got if g == "hot") == 300
+    assert [(g, n) for g, *_, n in got if g is None] == [(None, 2)] and len([1 for g, *_ in got if g == "x"]) == 1
+    assert sampling.session_runs(df.limit(0), "g", "t", 10).count() == 0
