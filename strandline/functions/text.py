@@ -49,6 +49,12 @@ def entity_key(texts: pd.Series) -> pd.Series:
     return folded.str.replace(r"[^\w؀-ۿ]+", " ", regex=True).str.strip()
 
 
+def sorted_names(c: str | Column) -> Column:
+    """The values of an array in the order of their words in lower case, then of their spelling; without nulls."""
+    keyed = F.transform(F.filter(col(c), lambda v: v.isNotNull()), lambda v: F.struct(word_key(v).alias("k"), v.alias("v")))
+    return F.transform(F.array_sort(keyed), lambda x: x["v"])
+
+
 def fingerprint(*parts: str | Column) -> Column:
     """SHA-256 of the parts, joined by a blank, in lower case and with white space collapsed."""
     return F.sha2(collapsed(F.concat_ws(" ", *[F.coalesce(col(p), F.lit("")) for p in parts])), 256)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.vectors import is_unit
 from strandline.operators.tables import latest, upsert
 from strandline.operators.validate import divided, errors, filled
-from strandline.plans.staging import staged
+from strandline.plans.staging import checked, staged
 from strandline.sources.readers import exists, write_partitions
 
 
@@ -35,8 +35,8 @@ def save(rows: DataFrame, path: str, key: str, identity: str, vector: str, order
     good, bad = accepted(rows, key, identity, vector)
     spark = rows.sparkSession
     if exists(spark, path):
-        touched = [r[0] for r in good.select(identity).distinct().collect()]
-        old = spark.read.parquet(path).filter(F.col(identity).isin(touched)) if touched else spark.read.parquet(path).limit(0)
+        # the partitions are pruned by the identities at run time
+        old = spark.read.parquet(path).join(checked(staged(good.select(identity).distinct())), identity, "left_semi")
         merged = upsert(old, good, [identity, key], order)
     else:
         merged = latest(good, [identity, key], F.col(order))

@@ -693,3 +693,17 @@ def quarantined_examples(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "extraction_examples")
     rows = e.select("example_id", "created_at", validate.errors(*[(f"{k} is missing", F.col(f"labels.{k}").isNotNull()) for k in _KEYS]).alias("errors"))
     return validate.quarantined(rows, e.select("example_id", "split", F.lit("accepted").alias("outcome")), "example_id", F.col("created_at"))[2]
+
+
+@_query(f"WITH {_EX}, v AS (SELECT example_id, unnest(labels.systems) AS v FROM ex) SELECT example_id, string_agg(v, '|' ORDER BY {_WK.format('v')}, v) AS systems FROM v WHERE v IS NOT NULL GROUP BY 1")
+def sorted_systems(spark: SparkSession, d: str) -> DataFrame:
+    """The systems that each record names, sorted by their words whatever the letter case."""
+    ex = _examples(spark, d).filter(F.size("labels.systems") > 0)
+    return ex.select("example_id", F.array_join(T.sorted_names("labels.systems"), "|").alias("systems"))
+
+
+@_query(f"WITH {_PLACED}, best AS (SELECT user_id, method, min(p) AS first_place, count(*) AS n FROM placed WHERE grade = 2 GROUP BY 1, 2) SELECT users.user_id, role, method, first_place, n FROM users JOIN best USING (user_id)")
+def first_hits(spark: SparkSession, d: str) -> DataFrame:
+    """For each user's case: at which place of each method's list the first record that meets all filters stands."""
+    hits = _placed(spark, d).filter("grade = 2").groupBy("user_id", "method").agg(F.min("p").alias("first_place"), F.count(F.lit(1)).alias("n"))
+    return _t(spark, d, "users").select("user_id", "role").join(hits, "user_id").select("user_id", "role", "method", "first_place", "n")
