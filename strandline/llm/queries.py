@@ -129,7 +129,8 @@ _REMAINS = r"(\s*\[(…|\.{3}|\+\d+ chars)\]|\s*…|\.{3}|&[#A-Za-z0-9]{0,7}|<[^
 _BEFORE = "CASE WHEN {y} IN ('¶', '.') OR {x} IN ('¶', '.') THEN '¶' ELSE {x} END AS x, CASE WHEN {y} = '.' THEN '¶' ELSE {y} END AS y"
 _JUDGED = rf"""
 WITH kept AS (
-  SELECT * FROM (SELECT doc_id, source, rtrim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(160) || chr(8203) || chr(65279)) AS text FROM documents) WHERE trim(text) <> ''
+  SELECT doc_id, source, left(t, length(t) - length(regexp_extract(t, '{_REMAINS}'))) AS bare, t AS text
+  FROM (SELECT doc_id, source, rtrim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(160) || chr(8203) || chr(65279)) AS t FROM documents) WHERE trim(t) <> ''
 ), split_up AS (
   SELECT *, regexp_split_to_array(text, '[\r\n]+\s*') AS lines, CASE WHEN regexp_matches(text, '[\r\n]') THEN '' ELSE lower(regexp_extract(text, '^\s*(\p{{L}}+):\s', 1)) END AS kind FROM kept
 ), each_line AS (SELECT len(lines) AS n, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM split_up),
@@ -140,33 +141,30 @@ firsts AS (
 ), signs AS (
   SELECT t.*, n > 1 AND NOT regexp_matches(last, '[.!?؟。]+["”’»\x27)\]]*$') AND (
     NOT regexp_matches(last, '\p{{L}}') OR regexp_matches(last, '^\s*[(\[].*[)\]]$') OR regexp_matches(last, 'https?://\S+$')
-    OR (f.word IS NOT NULL AND regexp_matches(last, '\S\s+\S'))) AS signed, regexp_matches(last, '[\p{{L}}\p{{N}}]') AS worded
+    OR (f.word IS NOT NULL AND regexp_matches(last, '\S\s+\S'))) AS signed
   FROM tails t LEFT JOIN firsts f ON f.word = t.word
 ), bodies AS (SELECT *, CASE WHEN signed THEN prior ELSE last END AS whole FROM signs),
-ends AS (
-  SELECT *, regexp_extract(whole, '{_REMAINS}') AS mark, {_WORDS.format(f"rtrim(regexp_replace(whole, '{_REMAINS}', ''))")} AS w FROM bodies
-), trimmed AS (SELECT * REPLACE (CASE WHEN w[-1] = '.' THEN w[:-2] ELSE w END AS w), coalesce(w[-1] = '.', false) AS closed, regexp_matches(mark, '[\p{{L}}\p{{N}}.]') AS apart FROM ends),
+ends AS (SELECT *, {_WORDS.format(f"rtrim(regexp_replace(whole, '{_REMAINS}', ''))")} AS w FROM bodies),
+trimmed AS (SELECT * REPLACE (CASE WHEN w[-1] = '.' THEN w[:-2] ELSE w END AS w), coalesce(w[-1] = '.', false) AS closed FROM ends),
 finals AS (
-  SELECT *, {_BEFORE.format(x="coalesce(w[-3], '¶')", y="coalesce(w[-2], '¶')")}, w[-1] AS z, CASE WHEN apart THEN 0 ELSE 1 END AS own, CASE WHEN apart OR signed THEN 0 ELSE 1 END AS own_last FROM trimmed
-), read AS (SELECT kind, list_concat(['¶', '¶'], {_WORDS.format("text")}) AS w FROM split_up),
+  SELECT *, {_BEFORE.format(x="coalesce(w[-3], '¶')", y="coalesce(w[-2], '¶')")}, w[-1] AS z, CASE WHEN closed OR signed OR kind <> '' THEN 1 ELSE 0 END AS own FROM trimmed
+), read AS (SELECT kind, list_concat(['¶', '¶'], {_WORDS.format("bare")}) AS w FROM split_up),
 places AS (SELECT kind, w, unnest(range(3, len(w) + 1)) AS i FROM read),
 grams AS (
-  SELECT kind, x, y, z, count(*) AS n, count(*) FILTER (s = '.') AS closed, count(*) FILTER (s IS NULL OR s = '¶') AS open, count(*) FILTER (s IS NULL) AS last
+  SELECT kind, x, y, z, count(*) AS n, count(*) FILTER (s = '.') AS closed, count(*) FILTER (s = '¶' OR (s IS NULL AND kind <> '')) AS open
   FROM (SELECT kind, {_BEFORE.format(x="w[i - 2]", y="w[i - 1]")}, w[i] AS z, w[i + 1] AS s FROM places WHERE w[i] NOT IN ('¶', '.')) GROUP BY ALL
 ), two AS (SELECT kind, y, z, sum(n) AS n, sum(closed) AS closed, sum(open) AS open FROM grams GROUP BY ALL),
-one AS (SELECT kind, z, sum(n) AS n, sum(closed) AS closed, sum(open) AS open, sum(last) AS last FROM grams GROUP BY ALL),
+one AS (SELECT kind, z, sum(n) AS n, sum(closed) AS closed, sum(open) AS open FROM grams GROUP BY ALL),
 al AS (SELECT kind, sum(n) AS n, sum(closed) AS closed, sum(open) AS open FROM one GROUP BY ALL),
-sign_offs AS (SELECT kind, count(*) FILTER (signed AND worded) AS n FROM finals GROUP BY 1),
 joined AS (
   SELECT f.doc_id, f.source, f.own, coalesce(g.n, 0) AS n3, coalesce(CASE WHEN f.closed THEN g.closed ELSE g.open END, 0) AS e3, coalesce(t.n, 0) AS n2, coalesce(CASE WHEN f.closed THEN t.closed ELSE t.open END, 0) AS e2,
-    coalesce(o.n, 0) AS n1, coalesce(CASE WHEN f.closed THEN o.closed ELSE o.open END, 0) AS e1, a.n AS n0, CASE WHEN f.closed THEN a.closed ELSE a.open - s.n END AS e0,
-    NOT f.closed AND coalesce(2 * (o.last - own_last) >= o.n - own, true) AS piece
+    coalesce(o.n, 0) AS n1, coalesce(CASE WHEN f.closed THEN o.closed ELSE o.open END, 0) AS e1, coalesce(a.n, 0) AS n0, coalesce(CASE WHEN f.closed THEN a.closed ELSE a.open END, 0) AS e0
   FROM finals f LEFT JOIN grams g ON g.kind = f.kind AND g.x = f.x AND g.y = f.y AND g.z = f.z
-  LEFT JOIN two t ON t.kind = f.kind AND t.y = f.y AND t.z = f.z LEFT JOIN one o ON o.kind = f.kind AND o.z = f.z LEFT JOIN al a ON a.kind = f.kind LEFT JOIN sign_offs s ON s.kind = f.kind
-), s0 AS (SELECT *, (greatest(coalesce(e0, 0) - own, 0) + 1) / (greatest(coalesce(n0, 0) - own, 0) + 20) AS s0 FROM joined),
-s1 AS (SELECT *, (greatest(e1 - own, 0) + 20 * s0) / (greatest(n1 - own, 0) + 20) AS s1 FROM s0),
-s2 AS (SELECT *, (greatest(e2 - own, 0) + 20 * s1) / (greatest(n2 - own, 0) + 20) AS s2 FROM s1),
-judged AS (SELECT doc_id, source, CASE WHEN piece THEN s0 ELSE (greatest(e3 - own, 0) + 20 * s2) / (greatest(n3 - own, 0) + 20) END < 0.01 AS cut FROM s2)
+  LEFT JOIN two t ON t.kind = f.kind AND t.y = f.y AND t.z = f.z LEFT JOIN one o ON o.kind = f.kind AND o.z = f.z LEFT JOIN al a ON a.kind = f.kind
+), s0 AS (SELECT *, (greatest(e0 - own, 0) + 1) / (greatest(n0 - 1, 0) + 20) AS s0 FROM joined),
+s1 AS (SELECT *, (greatest(e1 - own, 0) + 100 * s0) / (greatest(n1 - 1, 0) + 100) AS s1 FROM s0),
+s2 AS (SELECT *, (greatest(e2 - own, 0) + 100 * s1) / (greatest(n2 - 1, 0) + 100) AS s2 FROM s1),
+judged AS (SELECT doc_id, source, (greatest(e3 - own, 0) + 100 * s2) / (greatest(n3 - 1, 0) + 100) < 0.01 AS cut FROM s2)
 """
 
 ORACLES = {

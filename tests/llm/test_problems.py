@@ -409,7 +409,7 @@ def test_only_the_counts_decide(spark):
     inside, end = "grey vans left the old port after dark near the east gate", "talks went on in the old hall until the noon bell"
     for swapped in (False, True):
         a, b = (end, inside) if swapped else (inside, end)
-        texts = [f"{a} {NOUNS[i % 60]} said. {b}" for i in range(300)]
+        texts = [f"{a} {NOUNS[i % 60]} said. {b}\nMore came later that day." for i in range(300)]
         rows = [(i, t, "s") for i, t in enumerate(texts)] + [(1000, f"They said {a}", "s"), (1001, f"They said {b}", "s"), (1002, f"They said {a}.", "s"), (1003, f"They said {b}.", "s")]
         got = {r["doc_id"]: r["cut"] for r in truncation.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
         assert got[1000] and not got[1001] and got[1002]
